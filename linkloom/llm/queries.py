@@ -22,6 +22,18 @@ def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .vectors import near_vectors
+
+    return near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import near_duplicates
+
+    return near_duplicates(documents(spark, sf_dir)).select("doc_id", "fingerprint", "component_id")
+
+
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .chat import format_turns, read_back
 
@@ -48,5 +60,5 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan(documents(spark, sf_dir)).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
 
 
-QUERIES = {f.__name__: f for f in (op1_source_mix, op4_chat_format, op6_token_counts, op7_quality_rules, op8_secret_scan)}
+QUERIES = {f.__name__: f for f in (op1_source_mix, op2_embedding_near_dedup, op3_simhash_near_dedup, op4_chat_format, op6_token_counts, op7_quality_rules, op8_secret_scan)}
 ORACLES: dict[str, str] = {}
