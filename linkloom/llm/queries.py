@@ -42,6 +42,12 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(format_turns(turns.unionByName(extra)))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substrings import remove_repeats
+
+    return remove_repeats(documents(spark, sf_dir))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_counts import token_counts
 
@@ -60,5 +66,5 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan(documents(spark, sf_dir)).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
 
 
-QUERIES = {f.__name__: f for f in (op1_source_mix, op2_embedding_near_dedup, op3_simhash_near_dedup, op4_chat_format, op6_token_counts, op7_quality_rules, op8_secret_scan)}
+QUERIES = {f.__name__: f for f in (op1_source_mix, op2_embedding_near_dedup, op3_simhash_near_dedup, op4_chat_format, op5_substring_dedup, op6_token_counts, op7_quality_rules, op8_secret_scan)}
 ORACLES: dict[str, str] = {}
