@@ -66,5 +66,17 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan(documents(spark, sf_dir)).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
 
 
-QUERIES = {f.__name__: f for f in (op1_source_mix, op2_embedding_near_dedup, op3_simhash_near_dedup, op4_chat_format, op5_substring_dedup, op6_token_counts, op7_quality_rules, op8_secret_scan)}
+def op9_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ordering import materialise
+
+    return materialise(documents(spark, sf_dir), tokenizer("word_bpe_49k.json"))
+
+
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .bpe import bpe_digests
+
+    return bpe_digests(documents(spark, sf_dir), tokenizer("word_bpe_49k.json"))
+
+
+QUERIES = {f.__name__: f for f in (op1_source_mix, op2_embedding_near_dedup, op3_simhash_near_dedup, op4_chat_format, op5_substring_dedup, op6_token_counts, op7_quality_rules, op8_secret_scan, op9_training_order, op10_bpe)}
 ORACLES: dict[str, str] = {}
