@@ -180,15 +180,15 @@ def codec(path: str) -> Codec:
 
 
 def bpe(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens, ids (decimal, joined by a space) and decoded of every row of docs."""
+    """doc_id, n_tokens, ids and decoded of every row of docs."""
     small_batches(docs.sparkSession)
 
     def run(batches):
         for batch in batches:
             encoded = [codec(vocabulary).encode(t or "") for t in batch.column("text").to_pylist()]
-            yield {"doc_id": batch.column("doc_id"), "n_tokens": [e[0] for e in encoded], "ids": [e[1] for e in encoded], "decoded": [e[2] for e in encoded]}
+            yield {"doc_id": batch.column("doc_id"), "n_tokens": [e[0] for e in encoded], "ids": [np.array(e[1].split(), np.int32) for e in encoded], "decoded": [e[2] for e in encoded]}
 
-    return arrow_map(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run, "doc_id long, n_tokens long, ids string, decoded string")
+    return arrow_map(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run, "doc_id long, n_tokens long, ids array<int>, decoded string")
 
 
 def bpe_digests(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -21,8 +21,10 @@ shard, of about `shard_words` words each, so a source with a third of all rows i
 from __future__ import annotations
 
 import heapq
+import re
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,6 +33,7 @@ from .permute import permute
 
 #: The weights of the first, second and third source, repeating.
 WEIGHTS = (5, 2, 1)
+WORDS = re.compile(WORD_RE)
 
 
 def targets(sizes: list[int], weights: list[int], total: float = 1.5, most: float = 2.0) -> list[float]:
@@ -73,10 +76,10 @@ def sainte_lague(seats: int, votes: list[float]) -> list[int]:
 
 
 def mix(docs: DataFrame, total: float = 1.5, most: float = 2.0, block: int = 16, shard_words: int = 1 << 22, seed: int = 0, most_sources: int = 100_000, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """doc_id, row_key, source, size, source_size, target, taken of every row of docs."""
+    """doc_id, row_key, source, size, source_size, target, taken, and spans (of words: start, stop, times) of every row of docs."""
     spark = docs.sparkSession
     small_batches(spark, 10_000)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("row_key"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(text_col, F.lit(WORD_RE)), F.lit(0)).cast("long").alias("size"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col, source_col).alias("row_key"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(text_col, F.lit(WORD_RE)), F.lit(0)).cast("long").alias("size"))
     rows = written(rows, "mix-sizes")
     catalogue = rows.groupBy("source").agg(F.sum("size").alias("size")).limit(most_sources + 1).collect()
     if len(catalogue) > most_sources:
@@ -111,19 +114,61 @@ def mix(docs: DataFrame, total: float = 1.5, most: float = 2.0, block: int = 16,
     def take(batches):
         for batch in batches:
             stop, size, n, q, s, shard = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("stop", "size", "n", "quota", "s", "shard"))
-            yield {c: batch.column(c) for c in ("doc_id", "row_key", "source", "size", "source_size", "target")} | {"taken": taken_words(stop - size, stop, n, q, s * 1_000_003 + shard, block, seed)}
+            start = stop - size
+            row, a, b, times = taken_blocks(start, stop, n, q, s * 1_000_003 + shard, block, seed)
+            spans: list[list] = [[] for _ in range(len(start))]
+            for i, x, y, t in zip(row.tolist(), (a - start[row]).tolist(), (b - start[row]).tolist(), times.tolist(), strict=True):
+                if t:
+                    if spans[i] and spans[i][-1]["stop"] == x and spans[i][-1]["times"] == t:
+                        spans[i][-1]["stop"] = y
+                    else:
+                        spans[i].append({"start": x, "stop": y, "times": t})
+            taken = np.bincount(row, (b - a) * times, len(start)).astype(np.int64)
+            yield {c: batch.column(c) for c in ("doc_id", "row_key", "source", "size", "source_size", "target")} | {"taken": taken, "spans": spans}
 
     laid = laid.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("n", "quota")})
-    return arrow_map(laid.select("doc_id", "row_key", "source", "size", "source_size", "target", "stop", "n", "quota", "s", "shard"), take, "doc_id long, row_key long, source string, size long, source_size long, target double, taken long")
+    return arrow_map(laid.select("doc_id", "row_key", "source", "size", "source_size", "target", "stop", "n", "quota", "s", "shard"), take, "doc_id long, row_key long, source string, size long, source_size long, target double, taken long, spans array<struct<start:int,stop:int,times:int>>")
 
 
-def taken_words(start: np.ndarray, stop: np.ndarray, n: np.ndarray, quota: np.ndarray, shard: np.ndarray, block: int, seed: int) -> np.ndarray:
-    """Words of [start, stop) of each shard's stream that lie in taken blocks, counted as often as the block is taken."""
+def taken_blocks(start: np.ndarray, stop: np.ndarray, n: np.ndarray, quota: np.ndarray, shard: np.ndarray, block: int, seed: int) -> tuple[np.ndarray, ...]:
+    """Row, start, stop and times taken of the pieces that block borders cut each row's words [start, stop) of its shard into."""
     first, last = start // block, np.where(stop > start, (stop - 1) // block + 1, start // block)
     spread = last - first
     row = np.repeat(np.arange(len(start)), spread)
     each = np.arange(len(row)) - np.repeat(np.cumsum(spread) - spread, spread) + first[row]
-    overlap = np.minimum(stop[row], (each + 1) * block) - np.maximum(start[row], each * block)
     size = np.maximum(n, 1)[row]
     extra = permute(each, size, shard[row].astype(np.int64) * 2_654_435_761 + seed) < quota[row] % size
-    return np.bincount(row, overlap * (quota[row] // size + extra), len(start)).astype(np.int64)
+    return row, np.maximum(start[row], each * block), np.minimum(stop[row], (each + 1) * block), quota[row] // size + extra
+
+
+def mixed(docs: DataFrame, block: int = 2048, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", chars_col: str | None = "n_chars", **parameters) -> DataFrame:
+    """The mix itself, with the columns of docs: a row's taken words as its text, once more in a further row for what is taken twice. What lies between words stays; spans that don't touch are joined by a line feed."""
+    spans = mix(docs, block=block, id_col=id_col, text_col=text_col, source_col=source_col, **parameters).filter("taken > 0")
+    spans = spans.groupBy("doc_id", "row_key").agg(F.collect_list("spans").alias("_x_spans")).select(F.col("doc_id").alias("_x_id"), F.col("row_key").alias("_x_key"), "_x_spans")
+    keyed = docs.withColumns({"_y_id": F.col(id_col).cast("long"), "_y_key": F.xxhash64(text_col, source_col)}).dropDuplicates(["_y_id", "_y_key"])
+    joined = keyed.join(spans, F.col("_y_id").eqNullSafe(F.col("_x_id")) & (F.col("_y_key") == F.col("_x_key"))).drop("_x_id", "_x_key", "_y_id", "_y_key")
+    names = docs.columns
+    at = names.index(text_col)
+
+    def cut(batches):
+        for batch in batches:
+            row, texts = [], []
+            for i, (text, each) in enumerate(zip(batch.column(at).to_pylist(), batch.column("_x_spans").to_pylist(), strict=True)):
+                words = [m.span() for m in WORDS.finditer(text)]
+                for one in each:
+                    for level in range(1, max(s["times"] for s in one) + 1):
+                        parts: list[list[int]] = []
+                        for s in one:
+                            if s["times"] >= level:
+                                if parts and parts[-1][1] == s["start"]:
+                                    parts[-1][1] = s["stop"]
+                                else:
+                                    parts.append([s["start"], s["stop"]])
+                        row.append(i)
+                        texts.append("\n".join(text[words[a][0] : words[b - 1][1]] for a, b in parts))
+            taken = batch.take(pa.array(row, pa.int64()))
+            out = {name: taken.column(k) for k, name in enumerate(names)} | {text_col: texts}
+            yield out | ({chars_col: [len(t) for t in texts]} if chars_col in names else {})
+
+    small_batches(docs.sparkSession)
+    return arrow_map(joined, cut, docs.schema)
