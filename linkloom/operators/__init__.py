@@ -1 +1 @@
-"""See the README for what lives here."""
+"""Record-linkage operators on DataFrames."""

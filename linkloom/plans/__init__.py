@@ -1 +1 @@
-"""See the README for what lives here."""
+"""Whole runs, the query catalogue and its SQL counterparts."""
