@@ -17,7 +17,9 @@ Null ids stay null. Other columns aren't read.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
+from collections.abc import Iterable
 from functools import lru_cache
 from itertools import chain
 
@@ -27,11 +29,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import SPACES, arrow_map, small_batches
+from .merges import Merges
 
 _U = np.uint64
 _SPACES = SPACES.encode()
 #: Fixed by rule: a hash for each byte value.
 GEAR = np.array([xxhash.xxh3_64_intdigest(bytes([b])) for b in range(256)], _U)
+#: Signs that a word may end in: a run of them is a token sequence of its own, and none is part of a special token or contraction.
+TAIL = b".,;:!?*$%&#)("
 Piece = tuple[int, str, str]
 
 
@@ -81,7 +86,7 @@ class Codec:
     the decoded text is the tokens joined by a space; `check` probes both.
     """
 
-    def __init__(self, path: str, mean: int = 1024, words: int = 200_000, chunks: int = 20_000):
+    def __init__(self, path: str, mean: int = 2048, words: int = 150_000, chunks: int = 20_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -90,7 +95,9 @@ class Codec:
         self.library.no_truncation()
         self.tokens = [self.library.id_to_token(i) or "" for i in range(self.library.get_vocab_size())]
         self.mean, self.words, self.chunks, self.joins = mean, Generations(words), Generations(chunks), Generations(words // 4)
+        self.cores, self.tails, self.merges, self.now = Generations(words), Generations(1000), None, {}
         self.check()
+        self.merges = merges_of(path, self.library)
 
     def check(self) -> None:
         probe = "ab cd\n\tE'll 12é <|endoftext|>x y"
@@ -103,16 +110,44 @@ class Codec:
         return len(ids), " ".join(map(str, ids)), " ".join([self.tokens[i] for i in ids])
 
     def of_words(self, words: list[bytes]) -> list[Piece]:
-        young, get = self.words.young, self.words.get
-        found = [young.get(w) or get(w) for w in words]
-        if None in found:
-            missing = list(dict.fromkeys(w for w, f in zip(words, found, strict=True) if f is None))
-            fresh = {}
-            for w, e in zip(missing, self.library.encode_batch_fast([w.decode() for w in missing], add_special_tokens=False), strict=True):
-                fresh[w] = self.piece(e.ids)
-                self.words.put(w, fresh[w])
-            found = [fresh[w] if f is None else f for w, f in zip(words, found, strict=True)]
-        return found
+        try:
+            return [self.now[w] for w in words]
+        except KeyError:
+            self.learn(words)
+            return [self.now[w] for w in words]
+
+    def learn(self, words: Iterable[bytes]) -> None:
+        """Puts the pieces of all words at hand, in `now`; those that no cache has are encoded together."""
+        now, get, missing = self.now, self.words.get, []
+        for w in words:
+            if w not in now:
+                if (found := get(w)) is None:
+                    missing.append(w)
+                else:
+                    now[w] = found
+        others, cut, cores, tails = [], [], {}, {}
+        for w in dict.fromkeys(missing):
+            core = w.rstrip(TAIL)
+            plain = plain_form(core) if self.merges else None
+            if plain is None:
+                others.append(w)
+                continue
+            tail = w[len(core) :]
+            cut.append((w, plain, tail))
+            cores[plain] = self.cores.get(plain)
+            if tail:
+                tails[tail] = self.tails.get(tail)
+        fresh = [c for c, f in cores.items() if f is None]
+        for c, ids in zip(fresh, self.merges.tokens(fresh) if fresh else [], strict=True):
+            cores[c] = self.piece(ids)
+            self.cores.put(c, cores[c])
+        for known, cache, asked in ((now, self.words, others), (tails, self.tails, [t for t, f in tails.items() if f is None])):
+            for w, e in zip(asked, self.library.encode_batch_fast([w.decode() for w in asked], add_special_tokens=False), strict=True):
+                known[w] = self.piece(e.ids)
+                cache.put(w, known[w])
+        for w, plain, tail in cut:
+            now[w] = joined([cores[plain], tails[tail]]) if tail else cores[plain]
+            self.words.put(w, now[w])
 
     def of_chunk(self, raw: bytes) -> Piece:
         key = xxhash.xxh3_128_digest(raw)
@@ -144,8 +179,27 @@ class Codec:
                 raise ValueError("a text whose words can't be encoded one by one")
             wide *= 2
 
+    def encode_all(self, texts: list[str], at_once: int = 4 << 20) -> list[Piece]:
+        """All texts, the new words of some megabytes of them together."""
+        out, part, size = [], [], 0
+        for raw in (t.encode() for t in texts):
+            part.append(raw)
+            size += len(raw)
+            if size >= at_once:
+                out += self._some(part)
+                part, size = [], 0
+        return out + self._some(part)
+
+    def _some(self, part: list[bytes]) -> list[Piece]:
+        self.now = {}
+        self.learn({w for raw in part for w in raw.split()})
+        return [self._one(raw) for raw in part]
+
     def encode(self, text: str) -> Piece:
-        raw, parts, at = text.encode(), [], 0
+        return self.encode_all([text])[0]
+
+    def _one(self, raw: bytes) -> Piece:
+        parts, at = [], 0
         for cut in cuts(raw, self.mean):
             if cut < at or cut >= len(raw):
                 continue
@@ -157,6 +211,29 @@ class Codec:
         return joined(parts)
 
 
+def plain_form(core: bytes) -> bytes | None:
+    """The lower-case form of a word that has only Latin letters; null for any other. Below U+0250 nothing else happens to a letter in normalisation."""
+    if core.isalpha():  # ASCII letters only
+        return core.lower()
+    text = core.decode()
+    if not text.isalpha() or max(text) >= "\u0250":
+        return None
+    low = text.lower()
+    return low.encode() if len(low) == len(text) and low.isalpha() and max(low) < "\u0250" else None
+
+
+def merges_of(path: str, library) -> Merges | None:
+    """Merges for plain words, if the vocabulary is of the kind that they are for and agrees on probes."""
+    with open(path, encoding="utf-8") as f:
+        whole = json.load(f)
+    normal, model = json.dumps(whole.get("normalizer")), whole["model"]
+    if "Lowercase" not in normal or "ByteLevel" not in json.dumps(whole.get("pre_tokenizer")) or not model.get("end_of_word_suffix") or model.get("ignore_merges"):
+        return None
+    found = Merges(path, model["end_of_word_suffix"])
+    probes = [b"the", b"internationalisation", "déjà".encode(), "ñandú".encode(), "straße".encode(), b"a", b"zzzzzzzz"]
+    return found if found.tokens(probes) == [library.encode(w.decode(), add_special_tokens=False).ids for w in probes] else None
+
+
 def word_around(raw: bytes, cut: int, least: int) -> tuple[int, int]:
     """Start and end of the word that the cut falls into; both the cut if that is white space."""
     start = max(least, max(raw.rfind(bytes([s]), max(least, cut - 256), cut) for s in _SPACES) + 1)
@@ -185,7 +262,7 @@ def bpe(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
 
     def run(batches):
         for batch in batches:
-            encoded = [codec(vocabulary).encode(t or "") for t in batch.column("text").to_pylist()]
+            encoded = codec(vocabulary).encode_all([t or "" for t in batch.column("text").to_pylist()])
             yield {"doc_id": batch.column("doc_id"), "n_tokens": [e[0] for e in encoded], "ids": [np.array(e[1].split(), np.int32) for e in encoded], "decoded": [e[2] for e in encoded]}
 
     return arrow_map(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run, "doc_id long, n_tokens long, ids array<int>, decoded string")
@@ -198,7 +275,7 @@ def bpe_digests(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_c
 
     def run(batches):
         for batch in batches:
-            encoded = [codec(vocabulary).encode(t or "") for t in batch.column("text").to_pylist()]
+            encoded = codec(vocabulary).encode_all([t or "" for t in batch.column("text").to_pylist()])
             yield {"doc_id": batch.column("doc_id"), "n_tokens": [e[0] for e in encoded], "ids_sha256": [sha(e[1]) for e in encoded], "decoded_sha256": [sha(e[2]) for e in encoded]}
 
     return arrow_map(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
