@@ -1,6 +1,8 @@
 """Training-order materialisation: token ids in fixed-stride binary shards, in a keyed order.
 
-A text's ids are cut into sequences of `length`, the last one padded. The sequences of all
+A text's token ids are cut into sequences of `length`, the last one padded. Ids are those of a
+BPE vocabulary, two bytes each, or, without one, the text's UTF-8 bytes, one byte each (a
+byte-level vocabulary of 256; 0xFF, which UTF-8 never holds, pads). The sequences of all
 texts are numbered through by input partition and place, and a keyed Feistel permutation
 with cycle-walking gives each number its slot in [0, sequences). Slot s lies in shard
 s // records, at byte (s % records) * stride: each shard is a range of slots, is written by
@@ -32,11 +34,17 @@ from .bpe import codec
 from .common import arrow_map, shared_folder, small_batches, written
 from .permute import permute
 
-PAD = 0xFFFF
 
 
-def to_ids(decimal: str) -> np.ndarray:
-    return np.array(decimal.split(), "<u2") if decimal else np.zeros(0, "<u2")
+def kind_of(vocabulary: str | None) -> tuple[str, int]:
+    """Array type of ids, and what pads."""
+    return ("<u2", 0xFFFF) if vocabulary else ("u1", 0xFF)
+
+
+def ids_of(texts: list[str | None], vocabulary: str | None) -> list[np.ndarray]:
+    if vocabulary is None:
+        return [np.frombuffer((t or "").encode(), "u1") for t in texts]
+    return [np.array(p[1].split(), "<u2") for p in codec(vocabulary).encode_all([t or "" for t in texts])]
 
 
 def shard_name(shard: int) -> str:
@@ -47,22 +55,22 @@ def open_folder(uri: str):
     return pafs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (pafs.LocalFileSystem(), uri)
 
 
-def read_slots(uri: str, start: int, count: int, length: int, records: int):
+def read_slots(uri: str, start: int, count: int, length: int, records: int, vocabulary: str | None = None):
     """The ids of `count` slots from `start` on, read in sequence."""
-    fs, root = open_folder(uri)
-    stride, slot = 2 * length, start
+    (fs, root), (kind, pad) = open_folder(uri), kind_of(vocabulary)
+    stride, slot = np.dtype(kind).itemsize * length, start
     while slot < start + count:
         shard, place = divmod(slot, records)
         here = min(records - place, start + count - slot)
         with fs.open_input_file(f"{root}/{shard_name(shard)}") as f:
             f.seek(place * stride)
-            rows = np.frombuffer(f.read(here * stride), "<u2").reshape(here, length)
+            rows = np.frombuffer(f.read(here * stride), kind).reshape(here, length)
         for row in rows:
-            yield row[row != PAD]
+            yield row[row != pad]
         slot += here
 
 
-def materialise(docs: DataFrame, vocabulary: str, folder: str | None = None, length: int = 256, records: int = 8192, key: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def materialise(docs: DataFrame, vocabulary: str | None = None, folder: str | None = None, length: int = 512, records: int = 8192, key: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Writes the shards to folder (a new one in the shared folder by default); doc_id, seq_no, slot, shard, position (bytes) and n_tokens of every sequence."""
     spark = docs.sparkSession
     small_batches(spark)
@@ -78,8 +86,10 @@ def materialise(docs: DataFrame, vocabulary: str, folder: str | None = None, len
     return manifest
 
 
-def _write(rows: DataFrame, vocabulary: str, folder: str, length: int, records: int, key: int) -> DataFrame:
+def _write(rows: DataFrame, vocabulary: str | None, folder: str, length: int, records: int, key: int) -> DataFrame:
     spark = rows.sparkSession
+    kind, pad = kind_of(vocabulary)
+    stride = np.dtype(kind).itemsize * length
 
     def digest(sum_: int, ids: list, counts) -> int:
         return xxhash.xxh3_64_intdigest(f"{sum_}:{ids}:{list(counts)}".encode()) >> 1
@@ -87,7 +97,7 @@ def _write(rows: DataFrame, vocabulary: str, folder: str, length: int, records:
     def count(batches):
         pid, n, seen = TaskContext.get().partitionId(), 0, 0
         for batch in batches:
-            counts = [-(-codec(vocabulary).encode(t or "")[0] // length) for t in batch.column("text").to_pylist()]
+            counts = [-(-len(x) // length) for x in ids_of(batch.column("text").to_pylist(), vocabulary)]
             n += sum(counts)
             seen = digest(seen, batch.column("doc_id").to_pylist(), counts)
         if seen:
@@ -106,13 +116,10 @@ def _write(rows: DataFrame, vocabulary: str, folder: str, length: int, records:
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()
             counts, payload = [], []
-            for text in batch.column("text").to_pylist():
-                tokens = to_ids(codec(vocabulary).encode(text or "")[1])
+            for tokens in ids_of(batch.column("text").to_pylist(), vocabulary):
                 k = -(-len(tokens) // length)
-                padded = np.full(k * length, PAD, "<u2")
-                padded[: len(tokens)] = tokens
-                raw = padded.tobytes()
-                payload += [raw[i : i + 2 * length] for i in range(0, len(raw), 2 * length)]
+                raw = tokens.tobytes() + np.full(k * length - len(tokens), pad, kind).tobytes()
+                payload += [raw[i : i + stride] for i in range(0, len(raw), stride)]
                 counts.append(k)
             k = np.array(counts, int)
             who = np.repeat(np.arange(len(k)), k)
@@ -148,9 +155,9 @@ def _write(rows: DataFrame, vocabulary: str, folder: str, length: int, records:
                     now, name = int(shards[a]), f"{root}/.{shard_name(int(shards[a]))}.{uuid.uuid4().hex}"
                     out = fs.open_output_stream(name)
                 out.write(b"".join(payload[a:b]))
-            joined = np.frombuffer(b"".join(payload), "<u2").reshape(-1, length)
+            joined = np.frombuffer(b"".join(payload), kind).reshape(-1, length)
             slots = batch.column("slot").to_numpy()
-            yield {"doc_id": batch.column("doc_id"), "seq_no": batch.column("seq_no"), "slot": slots, "shard": shards, "position": slots % records * 2 * length, "n_tokens": (joined != PAD).sum(1)}
+            yield {"doc_id": batch.column("doc_id"), "seq_no": batch.column("seq_no"), "slot": slots, "shard": shards, "position": slots % records * stride, "n_tokens": (joined != pad).sum(1)}
         if out is not None:
             close()
 

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from .oracles import ORACLES  # noqa: F401
 
 
 def tokenizer(name: str) -> str:
@@ -69,7 +70,7 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ordering import materialise
 
-    return materialise(documents(spark, sf_dir), tokenizer("word_bpe_49k.json"))
+    return materialise(documents(spark, sf_dir))
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,4 +80,3 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_source_mix, op2_embedding_near_dedup, op3_simhash_near_dedup, op4_chat_format, op5_substring_dedup, op6_token_counts, op7_quality_rules, op8_secret_scan, op9_training_order, op10_bpe)}
-ORACLES: dict[str, str] = {}
