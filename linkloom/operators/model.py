@@ -28,7 +28,7 @@ def _fit(classifier, labelled: DataFrame, names: list[str]) -> PipelineModel:
     return PipelineModel([assembler, classifier.fit(ready)])
 
 
-def fit_base(labelled: DataFrame, validation: str | None = None, iterations: int = 60, depth: int = 5, step: float = 0.1) -> PipelineModel:
+def fit_base(labelled: DataFrame, validation: str | None = None, iterations: int = 30, depth: int = 5, step: float = 0.1) -> PipelineModel:
     """Trees over the baseline features; with a boolean column `validation`, boosting stops once its rows no longer gain."""
     gbt = GBTClassifier(maxIter=iterations, maxDepth=depth, stepSize=step, subsamplingRate=0.8, featureSubsetStrategy="0.8", minInstancesPerNode=20, seed=42, weightCol="weight")
     if validation:
@@ -39,7 +39,7 @@ def fit_base(labelled: DataFrame, validation: str | None = None, iterations: int
 def fit_reranker(labelled: DataFrame, kind: str = "trees") -> PipelineModel:
     """Small trees, or logistic regression, over the accuracy features."""
     if kind == "trees":
-        classifier = GBTClassifier(maxIter=50, maxDepth=4, stepSize=0.1, minInstancesPerNode=5, seed=42, weightCol="weight")
+        classifier = GBTClassifier(maxIter=25, maxDepth=4, stepSize=0.1, minInstancesPerNode=5, seed=42, weightCol="weight")
     else:
         classifier = LogisticRegression(maxIter=100, weightCol="weight")
     return _fit(classifier, labelled, ACCURACY)

@@ -22,6 +22,7 @@ from ..operators import tfidf as V
 from ..operators import validate as Q
 from ..operators.features import ACCURACY, BASE, accuracy_features, base_features, with_ratios
 from ..operators.prepare import prepare, with_forms
+from ..operators.store import stored
 from ..sources import tsv
 from ..sources import views as R
 from . import oracle as O
@@ -54,23 +55,24 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Reference records, and the records of both other sources."""
-    return prepare(R.source(spark, sf_dir, 1)), prepare(R.source(spark, sf_dir, 2, 3))
+    """Reference records, and the records of both other sources, prepared once for all branches."""
+    every = stored(prepare(R.records(spark, sf_dir)))
+    return every.filter(c("entity_id").startswith("S1-")), every.filter(~c("entity_id").startswith("S1-"))
 
 
 def found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return B.candidates(*sides(spark, sf_dir))
+    return stored(B.candidates(*sides(spark, sf_dir)))
 
 
 def candidate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = sides(spark, sf_dir)
-    return C.join_records(B.candidates(a, b), with_forms(a), with_forms(b))
+    return C.join_records(stored(B.candidates(a, b)), with_forms(a), with_forms(b))
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Accuracy features and a closed-form score: no model, so that SQL has the same."""
     features = accuracy_features(without_ratios(candidate_pairs(spark, sf_dir)))
-    return features.withColumn("score", 0.6 * F.col("name_base_levenshtein_sim") + 0.4 * F.col("addr_token_jaccard"))
+    return stored(features.withColumn("score", 0.6 * F.col("name_base_levenshtein_sim") + 0.4 * F.col("addr_token_jaccard")))
 
 
 def without_ratios(pairs: DataFrame) -> DataFrame:
@@ -148,8 +150,8 @@ def block_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT split_part(cand_id, '-', 1) AS src, count(*) AS n_pairs, count(DISTINCT s1_id) AS n_entities FROM cand GROUP BY 1")
 def block_union_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both sources blocked each for itself, with its own sizes, then put together."""
-    a = prepare(R.source(spark, sf_dir, 1))
-    both = B.candidates(a, prepare(R.source(spark, sf_dir, 2))).unionByName(B.candidates(a, prepare(R.source(spark, sf_dir, 3))))
+    a, b = sides(spark, sf_dir)
+    both = B.candidates(a, b.filter(c("entity_id").startswith("S2-"))).unionByName(B.candidates(a, b.filter(c("entity_id").startswith("S3-"))))
     return both.groupBy(B.source_of(c("cand_id")).alias("src")).agg(F.count("*").alias("n_pairs"), F.countDistinct("s1_id").alias("n_entities"))
 
 
@@ -240,7 +242,7 @@ _DOT = "SELECT cand.s1_id, cand.cand_id, least(1.0::DOUBLE, greatest(0.0::DOUBLE
 
 @query(f"SELECT n.s1_id, n.cand_id, round(n.v, 6) AS name_tfidf_cosine, round(d.v, 6) AS addr_tfidf_cosine FROM ({_DOT.format(k='name')}) n JOIN ({_DOT.format(k='addr')}) d ON d.s1_id = n.s1_id AND d.cand_id = n.cand_id")
 def tfidf_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, pairs = records(spark, sf_dir), found(spark, sf_dir)
+    rows, pairs = stored(records(spark, sf_dir)), found(spark, sf_dir)
     out = pairs.select("s1_id", "cand_id")
     for kind, column in (("name", "base"), ("addr", "addr")):
         vectors = V.transform(rows, "entity_id", column, V.fit(rows, column))

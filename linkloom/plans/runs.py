@@ -11,7 +11,6 @@ from dataclasses import dataclass
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
 
 from ..operators import blocking as B
 from ..operators import decide as D
@@ -21,17 +20,11 @@ from ..operators import pairs as C
 from ..operators import tfidf as V
 from ..operators.features import accuracy_features, base_features, with_ratios
 from ..operators.prepare import with_forms
+from ..operators.store import stored
 
 FOLDS = 5
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """df stored for several reads: reliably where the cluster names a checkpoint folder, else in memory and on disk, to be recomputed if lost."""
-    if df.sparkSession.conf.get("spark.checkpoint.dir", None):
-        return df.checkpoint()
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
-
-
 def pair_table(references: DataFrame, others: DataFrame, top_k: int = B.TOP_K) -> DataFrame:
     """Candidate pairs with both records' forms and the edit ratios."""
     found = B.candidates(references, others, top_k=top_k)
@@ -63,8 +56,8 @@ def _fold():
 
 def train_baseline(references: DataFrame, others: DataFrame, truth: DataFrame, ratio: float = 6.0) -> Baseline:
     """Fits on folds 2 and above, stops early on fold 1, tunes on fold 0."""
-    pairs = kept(pair_table(references, others))
-    features = kept(C.label(base_features(pairs), truth).withColumn("fold", _fold()))
+    pairs = stored(pair_table(references, others))
+    features = stored(C.label(base_features(pairs), truth).withColumn("fold", _fold()))
     fitting = C.cap_negatives(features.filter("fold > 1"), ratio).withColumn("stop", F.lit(False)).unionByName(features.filter("fold = 1").withColumn("stop", F.lit(True)))
     model = L.fit_base(fitting, "stop" if features.filter("fold = 1").groupBy("label").count().count() == 2 else None)
     scored = L.predict(model, features).select("s1_id", "cand_id", "score", "fold")
@@ -77,7 +70,7 @@ def rerank_features(base: Baseline, references: DataFrame, others: DataFrame) ->
     rows = references.unionByName(others)
     pairs = base.pairs.join(base.scored.select("s1_id", "cand_id", F.col("score").alias("baseline_prob")), ["s1_id", "cand_id"], "left")
     for kind, column in (("name", "base"), ("addr", "addr")):
-        vectors = kept(V.transform(rows, "entity_id", column, V.fit(rows, column)))
+        vectors = stored(V.transform(rows, "entity_id", column, V.fit(rows, column)))
         pairs = pairs.join(V.cosines(base.pairs, vectors, vectors, f"{kind}_tfidf_cosine"), ["s1_id", "cand_id"], "left")
     return accuracy_features(pairs)
 
@@ -90,7 +83,7 @@ def rerank(model: PipelineModel, features: DataFrame, mode: str = "ml", alpha: f
 
 
 def train_reranker(base: Baseline, references: DataFrame, others: DataFrame, truth: DataFrame, kind: str = "trees", mode: str = "ml") -> Reranked:
-    features = kept(C.label(rerank_features(base, references, others), truth).withColumn("fold", _fold()))
+    features = stored(C.label(rerank_features(base, references, others), truth).withColumn("fold", _fold()))
     model = L.fit_reranker(features.filter("fold > 1"), kind)
     scored = rerank(model, features, mode).withColumn("fold", _fold())
     best = M.best_3d(M.grid_3d(scored.filter("fold = 0").drop("fold"), truth.filter(_fold() == 0)))
@@ -99,7 +92,7 @@ def train_reranker(base: Baseline, references: DataFrame, others: DataFrame, tru
 
 def predict_matches(base: Baseline, references: DataFrame, others: DataFrame, reranker: Reranked | None = None) -> tuple[DataFrame, DataFrame]:
     """Candidates and matches of new records; matches are a subset of candidates."""
-    pairs = kept(pair_table(references, others))
+    pairs = stored(pair_table(references, others))
     scored = L.predict(base.model, base_features(pairs)).select("s1_id", "cand_id", "score")
     if reranker is None:
         return pairs.select("s1_id", "cand_id"), D.decide(scored, base.threshold, base.margin)
