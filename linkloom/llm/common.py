@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -25,7 +26,7 @@ def shared_folder(spark: SparkSession) -> str:
     conf = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if conf:
         return conf.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.match(r"local($|\[)", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     folder = "file://" + tempfile.mkdtemp(prefix="linkloom-")
     spark.conf.set("spark.checkpoint.dir", folder)
@@ -58,7 +59,3 @@ def arrow_map(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iter
             )
 
     return df.mapInArrow(run, kind)
-
-
-def hex64(value: int) -> str:
-    return f"{value & 0xFFFFFFFFFFFFFFFF:016x}"

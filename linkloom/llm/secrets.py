@@ -108,7 +108,7 @@ def secret_scan(docs: DataFrame, max_owners: int = 2, **columns: str) -> DataFra
     return joined.select("doc_id", "row_key", "n_assign", "n_access", "n_hex", "base_sha256", F.array_join(told, ",").alias("spans"), "live", "masks")
 
 
-def redact(docs: DataFrame, mark: str = "[SECRET]", max_owners: int = 2, text_col: str = "text", id_col: str = "doc_id", owner_col: str = "source") -> DataFrame:
+def redact(docs: DataFrame, mark: str = "[SECRET]", max_owners: int = 2, text_col: str = "text", id_col: str = "doc_id", owner_col: str = "source", chars_col: str = "n_chars") -> DataFrame:
     """docs with every secret value that isn't a widely copied example replaced by mark; all rows stay."""
     scanned = secret_scan(docs, max_owners, id_col=id_col, text_col=text_col, owner_col=owner_col)
     masks = scanned.filter(F.size("masks") > 0).select(F.col("doc_id").alias("_m_id"), F.col("row_key").alias("_m_key"), F.col("masks").alias("_masks")).dropDuplicates(["_m_id", "_m_key"])
@@ -126,4 +126,7 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", max_owners: int = 2, text_co
         ),
         lambda acc: F.concat(acc["out"], F.substring(F.col(text_col), acc["at"] + 1, F.length(text_col))),
     )
-    return joined.withColumn(text_col, F.when(F.col("_masks").isNotNull(), folded).otherwise(F.col(text_col))).drop("_masks")
+    out = joined.withColumn(text_col, F.when(F.col("_masks").isNotNull(), folded).otherwise(F.col(text_col)))
+    if chars_col in docs.columns:
+        out = out.withColumn(chars_col, F.when(F.col("_masks").isNotNull(), F.length(text_col).cast(docs.schema[chars_col].dataType)).otherwise(F.col(chars_col)))
+    return out.drop("_masks")
