@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -20,12 +20,27 @@ def label(pairs: DataFrame, truth: DataFrame) -> DataFrame:
 
 
 def cap_negatives(labelled: DataFrame, ratio: float = 6.0, seed: int = 42) -> DataFrame:
-    """All positives, and at most int(ratio x positives) negatives in hash order; all rows if there is no positive."""
-    positives = labelled.filter("label = 1").count()
+    """All positives, and at most int(ratio x positives) negatives in hash order; all rows if there is no positive.
+
+    Only the counts of 4,096 hash ranges come to the driver; the range in which the cap
+    falls is the only one that is ranked, so no task orders all negatives.
+    """
+    hashed = labelled.withColumn("_h", F.xxhash64(F.lit(seed), "s1_id", "cand_id")).withColumn("_b", F.shiftrightunsigned("_h", 52))
+    counts = {(r["label"], r["_b"]): r["count"] for r in hashed.groupBy("label", "_b").count().collect()}
+    positives = sum(n for (label, _), n in counts.items() if label == 1)
     if not positives:
         return labelled
-    some = labelled.filter("label = 0").orderBy(F.xxhash64(F.lit(seed), "s1_id", "cand_id"), "s1_id", "cand_id").limit(int(ratio * positives))
-    return labelled.filter("label = 1").unionByName(some)
+    left, edge = int(ratio * positives), -1
+    for edge, n in sorted((b, n) for (label, b), n in counts.items() if label == 0):
+        if n > left:
+            break
+        left -= n
+    else:
+        return labelled
+    negative = F.col("label") == 0
+    rank = F.row_number().over(Window.partitionBy("_b").orderBy("_h", "s1_id", "cand_id"))
+    at_edge = hashed.filter(negative & (F.col("_b") == edge)).withColumn("_r", rank).filter(F.col("_r") <= left).drop("_r")
+    return hashed.filter(~negative | (F.col("_b") < edge)).unionByName(at_edge).drop("_h", "_b")
 
 
 def class_weights(labelled: DataFrame) -> DataFrame:

@@ -8,7 +8,9 @@ from pyspark.storagelevel import StorageLevel
 
 def stored(df: DataFrame) -> DataFrame:
     """df computed once: a checkpoint where the cluster names a shared folder for them, else memory and disk, to be recomputed from its lineage if lost."""
-    spark = df.sparkSession
-    if spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir"):
+    context = df.sparkSession.sparkContext
+    if folder := context.getConf().get("spark.checkpoint.dir"):
+        if not context.getCheckpointDir():
+            context.setCheckpointDir(folder)
         return df.checkpoint()
     return df.persist(StorageLevel.MEMORY_AND_DISK)
