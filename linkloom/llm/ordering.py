@@ -1,33 +1,35 @@
 """Training-order materialisation: token ids in fixed-stride binary shards, in a keyed order.
 
-A text's token ids are cut into sequences of `length`, the last one padded. Ids are those of a
-BPE vocabulary, two bytes each, or, without one, the text's UTF-8 bytes, one byte each (a
-byte-level vocabulary of 256; 0xFF, which UTF-8 never holds, pads). The sequences of all
-texts are numbered through by input partition and place, and a keyed Feistel permutation
-with cycle-walking gives each number its slot in [0, sequences). Slot s lies in shard
-s // records, at byte (s % records) * stride: each shard is a range of slots, is written by
-one task in the order of slots, and is renamed to its name when it is whole, so that a task
-that is run again leaves the same file. A reader finds any slot by arithmetic and resumes
-anywhere.
-
-Numbers come from a first pass that counts each partition's sequences (one small row per
+The texts of an input partition follow each other as one stream of token ids, each text
+behind the other's end mark, and the stream is cut into sequences of `length`; only the last one of a
+partition is padded. Ids are those of a BPE vocabulary, two bytes each, or, without one, the
+text's UTF-8 bytes, one byte each (a byte-level vocabulary; 0xFE and 0xFF, which UTF-8 never
+holds, end a text and pad). The sequences are numbered through by partition and place, and
+a keyed Feistel permutation with cycle-walking gives each number its slot in
+[0, sequences). Slot s lies in shard s // records, at byte (s % records) * stride: each
+shard is a range of slots, is written by one task in the order of slots, and is renamed to
+its name when it is whole, so that a task that is run again leaves the same file. A reader
+finds any slot by arithmetic and resumes anywhere.
+
+Numbers come from a first pass that counts each partition's tokens (one small row per
 input partition is all that comes to the driver). Both passes read the same partitions of
-the same plan; the second one checks every partition's count and digest of ids and fails
+the same plan; the second one checks every partition's ids and counts by a digest and fails
 rather than write another order.
 
-Null and empty texts have no sequence. Repeated rows have sequences of their own. An empty
-table gives no shard. Other columns aren't read.
+Null and empty texts have no token and no end mark. Repeated rows are texts of their own.
+An empty table gives no shard. Other columns aren't read.
 """
 
 from __future__ import annotations
 
+import re
 import uuid
 
 import numpy as np
 import pyarrow.fs as pafs
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import codec
@@ -37,22 +39,34 @@ from .permute import permute
 
 
 def kind_of(vocabulary: str | None) -> tuple[str, int]:
-    """Array type of ids, and what pads."""
+    """Array type of ids, and what pads; the number below ends a text."""
     return ("<u2", 0xFFFF) if vocabulary else ("u1", 0xFF)
 
 
-def ids_of(texts: list[str | None], vocabulary: str | None) -> list[np.ndarray]:
+def ids_of(texts: list[str | None], vocabulary: str | None) -> list[bytes]:
+    """The ids of each text with its end mark, as bytes."""
+    kind, pad = kind_of(vocabulary)
     if vocabulary is None:
-        return [np.frombuffer((t or "").encode(), "u1") for t in texts]
-    return [np.array(p[1].split(), "<u2") for p in codec(vocabulary).encode_all([t or "" for t in texts])]
+        each = [(t or "").encode() for t in texts]
+    else:
+        each = [np.array(p[1].split(), kind).tobytes() for p in codec(vocabulary).encode_all([t or "" for t in texts])]
+    end = np.array([pad - 1], kind).tobytes()
+    return [e + end if e else e for e in each]
 
 
 def shard_name(shard: int) -> str:
     return f"shard-{shard:010d}.bin"
 
 
+def qualified(spark: SparkSession, folder: str) -> str:
+    """The folder with the scheme that Spark gives it, so that drivers, executors and readers open the same one."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    full = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return re.sub("^file:/+", "file:///", full)
+
+
 def open_folder(uri: str):
-    return pafs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (pafs.LocalFileSystem(), uri)
+    return pafs.FileSystem.from_uri(uri) if ":" in uri else (pafs.LocalFileSystem(), uri)
 
 
 def read_slots(uri: str, start: int, count: int, length: int, records: int, vocabulary: str | None = None):
@@ -70,11 +84,11 @@ def read_slots(uri: str, start: int, count: int, length: int, records: int, voca
         slot += here
 
 
-def materialise(docs: DataFrame, vocabulary: str | None = None, folder: str | None = None, length: int = 512, records: int = 8192, key: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Writes the shards to folder (a new one in the shared folder by default); doc_id, seq_no, slot, shard, position (bytes) and n_tokens of every sequence."""
+def materialise(docs: DataFrame, vocabulary: str | None = None, folder: str | None = None, length: int = 1024, records: int = 8192, key: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Writes the shards to folder (a new one in the shared folder by default); part, seq_no (the place in its partition's stream), slot, shard, position (bytes), n_tokens and doc_ids (whose tokens it has, in order) of every sequence."""
     spark = docs.sparkSession
     small_batches(spark)
-    folder = folder or f"{shared_folder(spark)}/linkloom/shards-{uuid.uuid4().hex}"
+    folder = qualified(spark, folder or f"{shared_folder(spark)}/linkloom/shards-{uuid.uuid4().hex}")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     setting = "spark.sql.files.minPartitionNum"
     before = spark.conf.get(setting, None)
@@ -91,17 +105,17 @@ def _write(rows: DataFrame, vocabulary: str | None, folder: str, length: int, re
     kind, pad = kind_of(vocabulary)
     stride = np.dtype(kind).itemsize * length
 
-    def digest(sum_: int, ids: list, counts) -> int:
-        return xxhash.xxh3_64_intdigest(f"{sum_}:{ids}:{list(counts)}".encode()) >> 1
+    def digest(sum_: int, ids: list, sizes: list) -> int:
+        return xxhash.xxh3_64_intdigest(f"{sum_}:{ids}:{sizes}".encode()) >> 1
 
     def count(batches):
         pid, n, seen = TaskContext.get().partitionId(), 0, 0
         for batch in batches:
-            counts = [-(-len(x) // length) for x in ids_of(batch.column("text").to_pylist(), vocabulary)]
-            n += sum(counts)
-            seen = digest(seen, batch.column("doc_id").to_pylist(), counts)
+            sizes = [len(x) for x in ids_of(batch.column("text").to_pylist(), vocabulary)]
+            n += sum(sizes)
+            seen = digest(seen, batch.column("doc_id").to_pylist(), sizes)
         if seen:
-            yield {"pid": [pid], "n": [n], "seen": [seen]}
+            yield {"pid": [pid], "n": [-(-n // stride)], "seen": [seen]}
 
     parts = sorted((r["pid"], r["n"], r["seen"]) for r in arrow_map(rows, count, "pid int, n long, seen long").collect())
     total, offsets = 0, {}
@@ -112,27 +126,41 @@ def _write(rows: DataFrame, vocabulary: str | None, folder: str, length: int, re
     def place(batches):
         pid = TaskContext.get().partitionId()
         start, n, told = offsets.get(pid, (0, 0, 0))
-        at, seen = start, 0
+        done, seen, rest, rest_ids = 0, 0, b"", []
+
+        def cut(raw: bytes, ends: list[tuple[int, int | None]], k: int) -> dict:
+            """The first k sequences of raw; ends: where each text's tokens end, and its id."""
+            docs, first = [], 0
+            for i in range(k):
+                last = first
+                while last < len(ends) - 1 and ends[last][0] < (i + 1) * stride:
+                    last += 1
+                docs.append([d for _, d in ends[first : last + 1]])
+                first = last + (ends[last][0] <= (i + 1) * stride)
+            slots = permute(np.arange(start + done, start + done + k), total, key)
+            return {"part": np.full(k, pid), "seq_no": np.arange(done, done + k), "slot": slots, "shard": slots // records, "payload": [raw[i * stride : (i + 1) * stride] for i in range(k)], "doc_ids": docs}
+
         for batch in batches:
-            ids = batch.column("doc_id").to_pylist()
-            counts, payload = [], []
-            for tokens in ids_of(batch.column("text").to_pylist(), vocabulary):
-                k = -(-len(tokens) // length)
-                raw = tokens.tobytes() + np.full(k * length - len(tokens), pad, kind).tobytes()
-                payload += [raw[i : i + stride] for i in range(0, len(raw), stride)]
-                counts.append(k)
-            k = np.array(counts, int)
-            who = np.repeat(np.arange(len(k)), k)
-            slots = permute(np.arange(at, at + len(who)), total, key)
-            at += len(who)
-            seen = digest(seen, ids, counts)
-            yield {"doc_id": [ids[i] for i in who], "seq_no": np.arange(len(who)) - np.repeat(np.cumsum(k) - k, k), "slot": slots, "shard": slots // records, "payload": payload}
-        if (at - start, seen) != (n, told):
+            ids, each = batch.column("doc_id").to_pylist(), ids_of(batch.column("text").to_pylist(), vocabulary)
+            seen = digest(seen, ids, [len(x) for x in each])
+            raw, ends, at = rest + b"".join(each), list(rest_ids), len(rest)
+            for d, x in zip(ids, each, strict=True):
+                if x:
+                    at += len(x)
+                    ends.append((at, d))
+            k = len(raw) // stride
+            yield cut(raw, ends, k)
+            done += k
+            rest, rest_ids = raw[k * stride :], [(e - k * stride, d) for e, d in ends if e > k * stride]
+        if rest:
+            yield cut(rest + np.full((stride - len(rest)) * length // stride, pad, kind).tobytes(), rest_ids, 1)
+            done += 1
+        if (done, seen) != (n, told):
             raise RuntimeError("the input's partitions aren't those that were counted; write the input to a table first")
 
     # A shard's slots are a range, and a shard goes to one task.
     width = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // records)))
-    placed = arrow_map(rows, place, "doc_id long, seq_no long, slot long, shard long, payload binary").repartition(width, "shard").sortWithinPartitions("shard", "slot")
+    placed = arrow_map(rows, place, "part int, seq_no long, slot long, shard long, payload binary, doc_ids array<long>").repartition(width, "shard").sortWithinPartitions("shard", "slot")
 
     def write(batches):
         fs, root = open_folder(folder)
@@ -157,8 +185,8 @@ def _write(rows: DataFrame, vocabulary: str | None, folder: str, length: int, re
                 out.write(b"".join(payload[a:b]))
             joined = np.frombuffer(b"".join(payload), kind).reshape(-1, length)
             slots = batch.column("slot").to_numpy()
-            yield {"doc_id": batch.column("doc_id"), "seq_no": batch.column("seq_no"), "slot": slots, "shard": shards, "position": slots % records * stride, "n_tokens": (joined != pad).sum(1)}
+            yield {"part": batch.column("part"), "seq_no": batch.column("seq_no"), "slot": slots, "shard": shards, "position": slots % records * stride, "n_tokens": (joined != pad).sum(1), "doc_ids": batch.column("doc_ids")}
         if out is not None:
             close()
 
-    return written(arrow_map(placed, write, "doc_id long, seq_no long, slot long, shard long, position long, n_tokens long"), "manifest")
+    return written(arrow_map(placed, write, "part int, seq_no long, slot long, shard long, position long, n_tokens long, doc_ids array<long>"), "manifest")
