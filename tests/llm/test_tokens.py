@@ -81,14 +81,27 @@ def test_training_order(docs, texts, nothing, tokenizer_path, library, tmp_path,
     folder = f"file://{tmp_path}/shards"
     rows = sorted(materialise(docs, path, folder, length=16, records=64).collect(), key=lambda r: r["slot"])
     assert [r["slot"] for r in rows] == list(range(len(rows)))
-    whole = Counter()
-    for i, t, *_ in texts:
-        ids = library.encode(t or "", add_special_tokens=False).ids if coded else list((t or "").encode())
-        whole.update((i, k // 16, tuple(ids[k : k + 16])) for k in range(0, len(ids), 16))
     got = list(read_slots(folder, 0, len(rows), 16, 64, path))
-    assert Counter((r["doc_id"], r["seq_no"], tuple(g.tolist())) for r, g in zip(rows, got, strict=True)) == whole
-    assert all(r["position"] == r["slot"] % 64 * 16 * (2 if coded else 1) and r["n_tokens"] == len(g) for r, g in zip(rows, got, strict=True))
+    end, streams = (0xFFFE, {}) if coded else (0xFE, {})
+    for r, g in sorted(zip(rows, got, strict=True), key=lambda x: (x[0]["part"], x[0]["seq_no"])):
+        assert r["position"] == r["slot"] % 64 * 16 * (2 if coded else 1) and r["n_tokens"] == len(g)
+        stream, owners = streams.setdefault(r["part"], ([], []))
+        assert r["seq_no"] * 16 == len(stream)
+        ends = sum(x == end for x in g.tolist())
+        assert len(r["doc_ids"]) == ends + (g[-1] != end)
+        owners += r["doc_ids"][1:] if stream and stream[-1] != end else r["doc_ids"]
+        stream += g.tolist()
+    found = Counter()
+    for stream, owners in streams.values():
+        cut = [k for k, x in enumerate(stream) if x == end]
+        found.update((i, tuple(stream[a + 1 : b])) for i, a, b in zip(owners, [-1, *cut], cut, strict=False))
+        assert len(owners) == len(cut)
+    want = Counter()
+    for i, t, *_ in texts:
+        if t and (ids := library.encode(t, add_special_tokens=False).ids if coded else list(t.encode())):
+            want[i, tuple(ids)] += 1
+    assert found == want
     resumed = list(read_slots(folder, 100, 30, 16, 64, path))
     assert all(np.array_equal(a, b) for a, b in zip(resumed, got[100:130], strict=True))
-    assert [r["doc_id"] for r in rows] != sorted((r["doc_id"] for r in rows), key=lambda x: (x is None, x))
+    assert [(r["part"], r["seq_no"]) for r in rows] != sorted((r["part"], r["seq_no"]) for r in rows)
     assert materialise(nothing, path, f"file://{tmp_path}/none").count() == 0
