@@ -84,17 +84,25 @@ def indel_ratio(a: Column, b: Column) -> Column:
     return F.when(F.length(short) <= 61, ratio)
 
 
-def lcs_length(a: str, b: str) -> int:
-    """Longest common subsequence, one whole-number step per character of b (Hyyrö's recurrence)."""
+def _masks(a: str) -> dict[str, int]:
+    """The places of each character."""
     masks: dict[str, int] = {}
     for i, c in enumerate(a):
         masks[c] = masks.get(c, 0) | 1 << i
-    full = (1 << len(a)) - 1
-    v = full
+    return masks
+
+
+def _lcs(n: int, masks: dict[str, int], b: str) -> int:
+    """Longest common subsequence with a string of n characters, one whole-number step per character of b (Hyyrö's recurrence)."""
+    v = full = (1 << n) - 1
     for c in b:
-        u = v & masks.get(c, 0)
-        v = ((v + u) | (v - u)) & full
-    return len(a) - v.bit_count()
+        if u := v & masks.get(c, 0):
+            v = (v + u) | (v - u)
+    return n - (v & full).bit_count()
+
+
+def lcs_length(a: str, b: str) -> int:
+    return _lcs(len(a), _masks(a), b)
 
 
 def ratio(a: str, b: str) -> float:
@@ -107,13 +115,12 @@ def partial_ratio(a: str, b: str) -> float:
         return float(a == b)
 
     def best(short: str, long: str) -> float:
-        n, found = len(short), 0.0
-        chars = set(short)
+        n, found, masks = len(short), 0.0, _masks(short)
         for start in range(1 - n, len(long)):
             window = long[max(0, start) : start + n]
             edge = window[-1] if start + n <= len(long) else window[0]
-            if edge in chars and 2 * min(n, len(window)) / (n + len(window)) > found:
-                found = max(found, ratio(short, window))
+            if edge in masks and 2 * min(n, len(window)) / (n + len(window)) > found:
+                found = max(found, 2 * _lcs(n, masks, window) / (n + len(window)))
                 if found == 1.0:
                     break
         return found

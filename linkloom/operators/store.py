@@ -14,3 +14,9 @@ def stored(df: DataFrame) -> DataFrame:
             context.setCheckpointDir(folder)
         return df.checkpoint()
     return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def spread(pairs: DataFrame) -> DataFrame:
+    """Candidate pairs dealt evenly over as many partitions as shuffles have: few bytes, but much work for each row, which adaptive coalescing by bytes doesn't see."""
+    parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return pairs.repartition(parts, "s1_id", "cand_id")

@@ -22,7 +22,7 @@ from ..operators import tfidf as V
 from ..operators import validate as Q
 from ..operators.features import ACCURACY, BASE, accuracy_features, base_features, with_ratios
 from ..operators.prepare import prepare, with_forms
-from ..operators.store import stored
+from ..operators.store import spread, stored
 from ..sources import tsv
 from ..sources import views as R
 from . import oracle as O
@@ -66,7 +66,7 @@ def found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def candidate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = sides(spark, sf_dir)
-    return C.join_records(stored(B.candidates(a, b)), with_forms(a), with_forms(b))
+    return C.join_records(stored(spread(B.candidates(a, b))), with_forms(a), with_forms(b))
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:

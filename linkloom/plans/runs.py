@@ -20,7 +20,7 @@ from ..operators import pairs as C
 from ..operators import tfidf as V
 from ..operators.features import accuracy_features, base_features, with_ratios
 from ..operators.prepare import with_forms
-from ..operators.store import stored
+from ..operators.store import spread, stored
 
 FOLDS = 5
 
@@ -28,7 +28,7 @@ FOLDS = 5
 def pair_table(references: DataFrame, others: DataFrame, top_k: int = B.TOP_K) -> DataFrame:
     """Candidate pairs with both records' forms and the edit ratios."""
     found = B.candidates(references, others, top_k=top_k)
-    return with_ratios(C.join_records(found.select("s1_id", "cand_id"), with_forms(references), with_forms(others)))
+    return with_ratios(C.join_records(stored(spread(found.select("s1_id", "cand_id"))), with_forms(references), with_forms(others)))
 
 
 @dataclass
