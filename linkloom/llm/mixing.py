@@ -75,7 +75,7 @@ def sainte_lague(seats: int, votes: list[float]) -> list[int]:
     return given
 
 
-def mix(docs: DataFrame, total: float = 1.5, most: float = 2.0, block: int = 16, shard_words: int = 1 << 22, seed: int = 0, most_sources: int = 100_000, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mix(docs: DataFrame, total: float = 1.5, most: float = 2.0, block: int = 16, shard_words: int = 1 << 18, seed: int = 0, most_sources: int = 100_000, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """doc_id, row_key, source, size, source_size, target, taken, and spans (of words: start, stop, times) of every row of docs."""
     spark = docs.sparkSession
     small_batches(spark, 10_000)
