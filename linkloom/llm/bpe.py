@@ -86,7 +86,7 @@ class Codec:
     the decoded text is the tokens joined by a space; `check` probes both.
     """
 
-    def __init__(self, path: str, mean: int = 2048, words: int = 150_000, chunks: int = 20_000):
+    def __init__(self, path: str, mean: int = 2048, words: int = 60_000, chunks: int = 1_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -179,7 +179,7 @@ class Codec:
                 raise ValueError("a text whose words can't be encoded one by one")
             wide *= 2
 
-    def encode_all(self, texts: list[str], at_once: int = 4 << 20) -> list[Piece]:
+    def encode_all(self, texts: list[str], at_once: int = 2 << 20) -> list[Piece]:
         """All texts, the new words of some megabytes of them together."""
         out, part, size = [], [], 0
         for raw in (t.encode() for t in texts):
@@ -193,7 +193,9 @@ class Codec:
     def _some(self, part: list[bytes]) -> list[Piece]:
         self.now = {}
         self.learn({w for raw in part for w in raw.split()})
-        return [self._one(raw) for raw in part]
+        out = [self._one(raw) for raw in part]
+        self.now = {}
+        return out
 
     def encode(self, text: str) -> Piece:
         return self.encode_all([text])[0]
@@ -258,7 +260,7 @@ def codec(path: str) -> Codec:
 
 def bpe(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids and decoded of every row of docs."""
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, 1000)
 
     def run(batches):
         for batch in batches:
@@ -270,7 +272,7 @@ def bpe(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
 
 def bpe_digests(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256: digests of what `bpe` returns, taken where it is made."""
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, 1000)
     sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
 
     def run(batches):
