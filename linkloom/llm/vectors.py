@@ -137,24 +137,31 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, sample: int = 20_0
                     place, code, left, reach = np.zeros(len(at), int), np.zeros((len(at), 0), np.uint8), np.zeros(len(at)), np.ones((len(at), 1), bool)
                 else:
                     (place, code, left), reach = model.encode(x), model.probes(x, step(dim))
-                who, where = np.nonzero(reach)
-                k = len(who)
                 yield {
-                    "label": np.concatenate([label[at], label[at][who]]), "dim": np.full(len(at) + k, dim), "list": np.concatenate([place, where]),
-                    "query": np.repeat([0, 1], [len(at), k]), "cid": np.concatenate([cid[at], cid[at][who]]), "n": np.concatenate([n[at], n[at][who]]),
-                    "raw": raw + [raw[i] for i in who], "code": [c.tobytes() for c in code] + [None] * k, "left": np.concatenate([left, np.zeros(k)]),
+                    "label": label[at], "dim": np.full(len(at), dim), "list": place, "probes": [np.flatnonzero(r) for r in reach], "cid": cid[at], "n": n[at],
+                    "raw": raw, "code": [c.tobytes() for c in code], "left": left,
                 }
 
     kind = dict(one.dtypes)["label"]
-    entries = written(arrow_map(one.select("label", "vector", "cid", "n"), index, f"label {kind}, dim int, list int, query int, cid long, n long, raw binary, code binary, left double"), "vector-lists")
-    group = ["label", "dim", "list"]
-    sizes = entries.groupBy(*group).agg(F.count_if(F.col("query") == 0).alias("es"), F.count_if(F.col("query") == 1).alias("qs")).select(*group, F.greatest(F.ceil(F.col("es") / chunk), F.lit(1)).alias("ec"), F.greatest(F.ceil(F.col("qs") / (8 * chunk)), F.lit(1)).alias("qc"))
-    cut = entries.join(sizes, group)
-    mine, theirs = F.when(F.col("query") == 0, F.col("ec")).otherwise(F.col("qc")), F.when(F.col("query") == 0, F.col("qc")).otherwise(F.col("ec"))
-    cut = cut.withColumn("mine", F.pmod(F.xxhash64("cid"), mine)).withColumn("other", F.explode(F.sequence(F.lit(0), theirs - 1)))
-    cut = cut.withColumns({"e": F.when(F.col("query") == 0, F.col("mine")).otherwise(F.col("other")), "q": F.when(F.col("query") == 0, F.col("other")).otherwise(F.col("mine"))})
-    keys = [*group, "e", "q"]
-    dealt = cut.select(*keys, "query", "cid", "n", "raw", "code", "left").repartition(*keys).sortWithinPartitions(*keys, "query")
+    entries = written(arrow_map(one.select("label", "vector", "cid", "n"), index, f"label {kind}, dim int, list int, probes array<int>, cid long, n long, raw binary, code binary, left double"), "vector-lists")
+    # How many chunks each list's entries and queries make, as one map of at most `lists` entries per label: vectors are shuffled once, behind it.
+    asked = entries.select("label", "dim", F.explode("probes").alias("list"), F.lit(0).alias("e")).unionByName(entries.select("label", "dim", "list", F.lit(1).alias("e")))
+    sizes = asked.groupBy("label", "dim", "list").agg(F.sum("e").alias("es"), F.sum(1 - F.col("e")).alias("qs"))
+    chunks = F.struct(F.greatest(F.ceil(F.col("es") / chunk), F.lit(1)).alias("ec"), F.greatest(F.ceil(F.col("qs") / (8 * chunk)), F.lit(1)).alias("qc"))
+    sizes = sizes.groupBy("label", "dim").agg(F.map_from_entries(F.collect_list(F.struct("list", chunks))).alias("chunks"))
+    cut = entries.join(sizes, ["label", "dim"])
+    keys = ["label", "dim", "list", "e", "q"]
+
+    def dealt_as(rows: DataFrame, query: int) -> DataFrame:
+        """Each row in its own chunk, against every chunk of the other kind."""
+        here = F.element_at("chunks", F.col("list"))
+        mine, other = ("qc", "ec") if query else ("ec", "qc")
+        rows = rows.withColumns({"mine": F.pmod(F.xxhash64("cid"), here[mine]), "other": F.explode(F.sequence(F.lit(0).cast("long"), here[other] - 1))})
+        e, q = ("other", "mine") if query else ("mine", "other")
+        return rows.select("label", "dim", "list", F.col(e).alias("e"), F.col(q).alias("q"), F.lit(query).alias("query"), "cid", "n", "raw", "code", "left")
+
+    queries = cut.withColumns({"list": F.explode("probes"), "code": F.lit(None).cast("binary"), "left": F.lit(0.0)})
+    dealt = dealt_as(cut, 0).unionByName(dealt_as(queries, 1)).repartition(*keys).sortWithinPartitions(*keys, "query")
 
     def search(batches):
         key, held = None, []
