@@ -190,6 +190,20 @@ class Codec:
                 part, size = [], 0
         return out + self._some(part)
 
+    def ids_all(self, texts: list[str], at_once: int = 8 << 20) -> list[np.ndarray]:
+        """The ids alone of all texts, word by word, without chunks and decoded text."""
+        out, part, size = [], [], 0
+        for k, words in enumerate(t.encode().split() for t in texts):
+            part.append(words)
+            size += len(texts[k])
+            if size >= at_once or k == len(texts) - 1:
+                self.now = {}
+                self.learn(set(chain.from_iterable(part)))
+                out += [np.fromstring(" ".join([p[1] for p in map(self.now.__getitem__, w) if p[0]]), np.int32, sep=" ") for w in part]
+                part, size = [], 0
+        self.now = {}
+        return out
+
     def _some(self, part: list[bytes]) -> list[Piece]:
         self.now = {}
         self.learn({w for raw in part for w in raw.split()})

@@ -11,10 +11,9 @@ shard is a range of slots, is written by one task in the order of slots, and is
 its name when it is whole, so that a task that is run again leaves the same file. A reader
 finds any slot by arithmetic and resumes anywhere.
 
-Numbers come from a first pass that counts each partition's tokens (one small row per
-input partition is all that comes to the driver). Both passes read the same partitions of
-the same plan; the second one checks every partition's ids and counts by a digest and fails
-rather than write another order.
+Texts are encoded once: a first pass writes the sequences, each compressed, to a table in the
+shared folder, with their partition and place. The numbers come from that table's counts (one small
+row per input partition is all that comes to the driver), and its rows are what is permuted.
 
 Null and empty texts have no token and no end mark. Repeated rows are texts of their own.
 An empty table gives no shard. Other columns aren't read.
@@ -26,8 +25,8 @@ import re
 import uuid
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.fs as pafs
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,7 +48,7 @@ def ids_of(texts: list[str | None], vocabulary: str | None) -> list[bytes]:
     if vocabulary is None:
         each = [(t or "").encode() for t in texts]
     else:
-        each = [np.array(p[1].split(), kind).tobytes() for p in codec(vocabulary).encode_all([t or "" for t in texts])]
+        each = [x.astype(kind).tobytes() for x in codec(vocabulary).ids_all([t or "" for t in texts])]
     end = np.array([pad - 1], kind).tobytes()
     return [e + end if e else e for e in each]
 
@@ -90,14 +89,7 @@ def materialise(docs: DataFrame, vocabulary: str | None = None, folder: str | No
     small_batches(spark)
     folder = qualified(spark, folder or f"{shared_folder(spark)}/linkloom/shards-{uuid.uuid4().hex}")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    setting = "spark.sql.files.minPartitionNum"
-    before = spark.conf.get(setting, None)
-    spark.conf.set(setting, before or str(spark.sparkContext.defaultParallelism))  # the same splits even if executors come or go
-    try:
-        manifest = _write(rows, vocabulary, folder, length, records, key)
-    finally:
-        spark.conf.set(setting, before) if before else spark.conf.unset(setting)
-    return manifest
+    return _write(rows, vocabulary, folder, length, records, key)
 
 
 def _write(rows: DataFrame, vocabulary: str | None, folder: str, length: int, records: int, key: int) -> DataFrame:
@@ -105,28 +97,8 @@ def _write(rows: DataFrame, vocabulary: str | None, folder: str, length: int, re
     kind, pad = kind_of(vocabulary)
     stride = np.dtype(kind).itemsize * length
 
-    def digest(sum_: int, ids: list, sizes: list) -> int:
-        return xxhash.xxh3_64_intdigest(f"{sum_}:{ids}:{sizes}".encode()) >> 1
-
-    def count(batches):
-        pid, n, seen = TaskContext.get().partitionId(), 0, 0
-        for batch in batches:
-            sizes = [len(x) for x in ids_of(batch.column("text").to_pylist(), vocabulary)]
-            n += sum(sizes)
-            seen = digest(seen, batch.column("doc_id").to_pylist(), sizes)
-        if seen:
-            yield {"pid": [pid], "n": [-(-n // stride)], "seen": [seen]}
-
-    parts = sorted((r["pid"], r["n"], r["seen"]) for r in arrow_map(rows, count, "pid int, n long, seen long").collect())
-    total, offsets = 0, {}
-    for pid, n, seen in parts:
-        offsets[pid] = (total, n, seen)
-        total += n
-
-    def place(batches):
-        pid = TaskContext.get().partitionId()
-        start, n, told = offsets.get(pid, (0, 0, 0))
-        done, seen, rest, rest_ids = 0, 0, b"", []
+    def encode(batches):
+        pid, done, rest, rest_ids = TaskContext.get().partitionId(), 0, b"", []
 
         def cut(raw: bytes, ends: list[tuple[int, int | None]], k: int) -> dict:
             """The first k sequences of raw; ends: where each text's tokens end, and its id."""
@@ -137,12 +109,11 @@ def _write(rows: DataFrame, vocabulary: str | None, folder: str, length: int, re
                     last += 1
                 docs.append([d for _, d in ends[first : last + 1]])
                 first = last + (ends[last][0] <= (i + 1) * stride)
-            slots = permute(np.arange(start + done, start + done + k), total, key)
-            return {"part": np.full(k, pid), "seq_no": np.arange(done, done + k), "slot": slots, "shard": slots // records, "payload": [raw[i * stride : (i + 1) * stride] for i in range(k)], "doc_ids": docs}
+            payload = [pa.compress(raw[i * stride : (i + 1) * stride], "zstd", asbytes=True) for i in range(k)]
+            return {"part": np.full(k, pid), "seq_no": np.arange(done, done + k), "payload": payload, "doc_ids": docs}
 
         for batch in batches:
             ids, each = batch.column("doc_id").to_pylist(), ids_of(batch.column("text").to_pylist(), vocabulary)
-            seen = digest(seen, ids, [len(x) for x in each])
             raw, ends, at = rest + b"".join(each), list(rest_ids), len(rest)
             for d, x in zip(ids, each, strict=True):
                 if x:
@@ -154,13 +125,22 @@ def _write(rows: DataFrame, vocabulary: str | None, folder: str, length: int, re
             rest, rest_ids = raw[k * stride :], [(e - k * stride, d) for e, d in ends if e > k * stride]
         if rest:
             yield cut(rest + np.full((stride - len(rest)) * length // stride, pad, kind).tobytes(), rest_ids, 1)
-            done += 1
-        if (done, seen) != (n, told):
-            raise RuntimeError("the input's partitions aren't those that were counted; write the input to a table first")
+
+    table = written(arrow_map(rows, encode, "part int, seq_no long, payload binary, doc_ids array<long>"), "sequences")
+    total, offsets = 0, {}
+    for r in sorted(table.groupBy("part").count().collect()):
+        offsets[r["part"]] = total
+        total += r["count"]
+
+    def place(batches):
+        for batch in batches:
+            start = np.array([offsets[p] for p in batch.column("part").to_pylist()], np.int64)
+            slots = permute(start + batch.column("seq_no").to_numpy(), total, key)
+            yield {c: batch.column(c) for c in ("part", "seq_no", "payload", "doc_ids")} | {"slot": slots, "shard": slots // records}
 
     # A shard's slots are a range, and a shard goes to one task.
     width = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // records)))
-    placed = arrow_map(rows, place, "part int, seq_no long, slot long, shard long, payload binary, doc_ids array<long>").repartition(width, "shard").sortWithinPartitions("shard", "slot")
+    placed = arrow_map(table, place, "part int, seq_no long, slot long, shard long, payload binary, doc_ids array<long>").repartition(width, "shard").sortWithinPartitions("shard", "slot")
 
     def write(batches):
         fs, root = open_folder(folder)
@@ -172,7 +152,7 @@ def _write(rows: DataFrame, vocabulary: str | None, folder: str, length: int, re
             fs.move(name, f"{root}/{shard_name(now)}")
 
         for batch in batches:
-            shards, payload = batch.column("shard").to_numpy(), batch.column("payload").to_pylist()
+            shards, payload = batch.column("shard").to_numpy(), [pa.decompress(x, stride, "zstd", asbytes=True) for x in batch.column("payload").to_pylist()]
             edges = [0, *(np.flatnonzero(shards[1:] != shards[:-1]) + 1).tolist(), len(shards)]
             for a, b in zip(edges[:-1], edges[1:], strict=True):
                 if a == b:

@@ -105,3 +105,18 @@ def test_training_order(docs, texts, nothing, tokenizer_path, library, tmp_path,
     assert all(np.array_equal(a, b) for a, b in zip(resumed, got[100:130], strict=True))
     assert [(r["part"], r["seq_no"]) for r in rows] != sorted((r["part"], r["seq_no"]) for r in rows)
     assert materialise(nothing, path, f"file://{tmp_path}/none").count() == 0
+
+
+def test_training_order_query_writes_the_vocabulary(spark, library):
+    from linkloom.llm.queries import documents, op9_training_order
+
+    data = "/root/testdata/sf0.001"
+    want = [len(library.encode(r["text"] or "", add_special_tokens=False).ids) for r in documents(spark, data).collect()]
+    rows = op9_training_order(spark, data).collect()
+    assert sum(r["n_tokens"] for r in rows) == sum(n + 1 for n in want if n)
+
+
+def test_ids_alone_equal_the_library(tokenizer_path, library):
+    texts = ["", *odd_texts(200, 6), "no" + "日本" * 300 + " end", ""]
+    got = Codec(tokenizer_path(WORDS)).ids_all(texts, at_once=2000)
+    assert [x.tolist() for x in got] == [library.encode(t, add_special_tokens=False).ids for t in texts]
