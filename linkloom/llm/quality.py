@@ -5,7 +5,9 @@ words are compared with the language's references by Jensen-Shannon divergence's
 the Jensen-Shannon distance (base 2, 0 to 1). The references come from the whole corpus:
 the commonest words by document frequency, then the mean histogram over distinct texts
 that pass the base rules, so that a large group of copies counts once. A guard lets
-texts that are too short for a histogram pass that test.
+texts that are too short for a histogram pass that test. A text with none of the
+common words lies at a distance that their share of the reference fixes, so where
+that share is large enough to tell, texts that lack common words are held to a part of that distance.
 
 Null texts have no words and fail the base rules. Null languages form one language of
 their own; languages behind the `languages` most frequent ones share a pooled reference.
@@ -179,7 +181,18 @@ def _shares(column: pa.Array) -> np.ndarray:
     return m * SCALE // np.maximum(m.sum(1, keepdims=True), 1)
 
 
-def quality(docs: DataFrame, class_limit: float = 0.30, word_limit: float = 0.60, min_words: int = 80, k: int = 64, languages: int = 256, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def word_limits(refs: dict[str, tuple[np.ndarray, np.ndarray]], most: float, bare_limit: float, least_share: float) -> dict[str, float]:
+    """Limit of the word distance by language: at most bare_limit times the distance of a text without common words, if these make up least_share of the reference."""
+    out = {}
+    for lang, (_, ref) in refs.items():
+        bare = np.zeros(len(ref))
+        bare[-1] = 1
+        tells = ref[:-1].sum() >= least_share * ref.sum()
+        out[lang] = min(most, bare_limit * float(js_distance(bare[None], ref[None].astype(float))[0])) if tells else most
+    return out
+
+
+def quality(docs: DataFrame, class_limit: float = 0.30, word_limit: float = 0.60, bare_limit: float = 0.9, least_share: float = 0.2, min_words: int = 80, k: int = 64, languages: int = 256, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """Base figures, both distances and `kept` of every row of docs, with row_key (xxhash64 of the text)."""
     small_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("row_key"), F.coalesce(F.col(lang_col), F.lit("")).alias("lang"), F.col(text_col).alias("text"))
@@ -187,6 +200,7 @@ def quality(docs: DataFrame, class_limit: float = 0.30, word_limit: float = 0.60
     docs = docs.withColumn("lang", F.when(F.col("lang").isin(frequent), F.col("lang")).otherwise(F.lit(POOLED)))
     table = written(measured(docs, common_words(docs, k), k), "quality")
     refs = references(table)
+    limits = word_limits(refs, word_limit, bare_limit, least_share)
 
     def run(batches):
         for batch in batches:
@@ -197,7 +211,10 @@ def quality(docs: DataFrame, class_limit: float = 0.30, word_limit: float = 0.60
                 ref = np.array([refs[x][part] if x in refs else np.zeros(rows.shape[1]) for x in langs], float).reshape(rows.shape)
                 far[column] = js_distance(rows, ref)
             n = batch.column("n_words").to_numpy()
-            fits = (n < min_words) | ((far["classes"] <= class_limit) & (far["words"] <= word_limit))
+            # The language's own limit is for texts with fewer of the common words than the reference, not for those with more.
+            lacks = rows[:, -1] * ref.sum(1) > ref[:, -1] * rows.sum(1)
+            limit = np.where(lacks, [limits.get(x, word_limit) for x in langs], word_limit)
+            fits = (n < min_words) | ((far["classes"] <= class_limit) & (far["words"] <= limit))
             failed = batch.column("base_failed").to_numpy(zero_copy_only=False)
             yield {name: batch.column(name) for name in ("doc_id", "row_key", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")} | {"kept": fits & ~failed.astype(bool), "class_distance": far["classes"], "word_distance": far["words"]}
 

@@ -174,3 +174,20 @@ def test_ownership_sets_examples_apart(spark, nothing):
     assert KEY not in out[20] and out[26] == "é token=[SECRET]"
     assert secret_scan(nothing).count() == 0
     assert looks_live(KEY) and not looks_live("example-example-1234")
+
+
+def test_texts_without_their_languages_words_are_rejected(spark):
+    import random
+
+    from linkloom.llm.quality import quality
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    rng = random.Random(8)
+    foreign = [r["text"] for r in docs.filter("lang = 'de'").collect() if r["text"] and len(r["text"].split()) > 150][:30]
+    gibberish = [" ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9))) for _ in range(200)) for _ in range(30)]
+    planted = spark.createDataFrame([(-1 - i, t, "en") for i, t in enumerate([*foreign, *gibberish])], "doc_id long, text string, lang string")
+    rows = quality(docs.unionByName(planted)).filter("n_words >= 80 AND NOT base_failed").collect()
+    bad, good = [r["kept"] for r in rows if r["doc_id"] < 0], [r["kept"] for r in rows if r["doc_id"] >= 0 and r["class_distance"] <= 0.30]
+    assert len(bad) >= 50 and sum(bad) <= 0.1 * len(bad)
+    assert sum(r["kept"] for r in rows if r["doc_id"] < -len(foreign)) == 0
+    assert sum(good) >= 0.95 * len(good)
