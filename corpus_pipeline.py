@@ -33,8 +33,8 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The words that the mix takes of each document, in blocks of 2,048 words."""
-    return mixed(docs)
+    """The words that the mix takes of each document, in blocks of up to 2,048 words (a 64th of its source's target)."""
+    return mixed(docs, widest=2048)
 
 
 def bpe_encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

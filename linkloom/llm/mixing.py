@@ -4,7 +4,9 @@ A document's size is its number of words. Sources in code point order (null last
 5, 2, 1 in turn and share `total` times all words; a target stops at `most` times its
 source's size, and the excess is reshared by weight until none is above. Equal-token
 blocks of `block` words are then apportioned to sources by highest quotients
-target / (2 seats + 1), and within a source to its shards by highest quotients over their
+target / (2 seats + 1). A source's seats may be pooled into wider blocks, by doubling up to `widest`
+words but not beyond a 64th of its target, so that small sources still meet theirs. Within a source
+they go to its shards by highest quotients over their
 sizes. A shard of n blocks and quota q takes each block q // n times, and q % n blocks,
 selected by a keyed permutation of the shard's blocks, once more. Documents take the
 words of theirs that lie in taken blocks, so none exceeds `most` (rounded up) times its size.
@@ -75,7 +77,14 @@ def sainte_lague(seats: int, votes: list[float]) -> list[int]:
     return given
 
 
-def mix(docs: DataFrame, total: float = 1.5, most: float = 2.0, block: int = 16, shard_words: int = 1 << 18, seed: int = 0, most_sources: int = 100_000, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def block_width(target: float, block: int, widest: int) -> int:
+    """The widest doubling of block that is within widest and a 64th of the target."""
+    while 2 * block <= min(widest, target / 64):
+        block *= 2
+    return block
+
+
+def mix(docs: DataFrame, total: float = 1.5, most: float = 2.0, block: int = 16, widest: int | None = None, shard_words: int = 1 << 18, seed: int = 0, most_sources: int = 100_000, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """doc_id, row_key, source, size, source_size, target, taken, and spans (of words: start, stop, times) of every row of docs."""
     spark = docs.sparkSession
     small_batches(spark, 10_000)
@@ -89,23 +98,24 @@ def mix(docs: DataFrame, total: float = 1.5, most: float = 2.0, block: int = 16,
     weights = [WEIGHTS[i % len(WEIGHTS)] for i in range(len(names))]
     goal = targets([sizes[s] for s in names], weights, total, most)
     seats = sainte_lague(round(sum(goal) / block), goal)
+    widths = [block_width(g, block, widest or block) for g in goal]
     plan = spark.createDataFrame(
-        [(s, i, sizes[s], g, q, -(-sizes[s] // shard_words) or 1) for i, (s, g, q) in enumerate(zip(names, goal, seats, strict=True))],
-        "p_source string, s int, source_size long, target double, seats long, shards long",
+        [(s, i, sizes[s], g, round(q * block / w), -(-sizes[s] // shard_words) or 1, w) for i, (s, g, q, w) in enumerate(zip(names, goal, seats, widths, strict=True))],
+        "p_source string, s int, source_size long, target double, seats long, shards long, width long",
     )
     named = rows.join(F.broadcast(plan) if len(names) < 1000 else plan, F.col("source").eqNullSafe(F.col("p_source"))).drop("p_source")
     place = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("row_key"))
     named = named.withColumn("place", place).withColumn("shard", F.pmod("place", "shards"))
 
     # Quotas of shards: rounded shares of the source's seats, then single seats by quotient.
-    sums = named.groupBy("s", "shard").agg(F.sum("size").alias("words"), F.first("seats").alias("seats"), F.first("source_size").alias("all"))
+    sums = named.groupBy("s", "shard").agg(F.sum("size").alias("words"), F.first("seats").alias("seats"), F.first("source_size").alias("all"), F.first("width").alias("width"))
     sums = sums.filter("words > 0").withColumn("given", F.floor(F.col("seats") * F.col("words") / F.col("all") + 0.5))
     sums = sums.withColumn("short", F.col("seats") - F.sum("given").over(Window.partitionBy("s")))
     moves = sums.filter("short != 0").withColumn("j", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
     moves = moves.withColumn("by", F.when(F.col("short") > 0, -F.col("words") / (2 * (F.col("given") + F.col("j")) + 1)).when(F.col("given") > F.col("j"), F.col("words") / (2 * (F.col("given") - F.col("j")) - 1)))
     moves = moves.filter("by is not null").withColumn("rank", F.row_number().over(Window.partitionBy("s").orderBy("by", "shard", "j"))).filter(F.col("rank") <= F.abs("short"))
     moves = moves.groupBy("s", "shard").agg(F.sum(F.signum("short")).cast("long").alias("moved"))
-    blocks = F.ceil(F.col("words") / block)
+    blocks = F.ceil(F.col("words") / F.col("width"))
     quota = sums.join(moves, ["s", "shard"], "left").select("s", "shard", blocks.alias("n"), F.least(F.col("given") + F.coalesce("moved", F.lit(0)), F.floor(most * blocks)).alias("quota"))
 
     within = Window.partitionBy("s", "shard").orderBy("place", "doc_id", "size")
@@ -113,9 +123,9 @@ def mix(docs: DataFrame, total: float = 1.5, most: float = 2.0, block: int = 16,
 
     def take(batches):
         for batch in batches:
-            stop, size, n, q, s, shard = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("stop", "size", "n", "quota", "s", "shard"))
+            stop, size, n, q, s, shard, width = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("stop", "size", "n", "quota", "s", "shard", "width"))
             start = stop - size
-            row, a, b, times = taken_blocks(start, stop, n, q, s * 1_000_003 + shard, block, seed)
+            row, a, b, times = taken_blocks(start, stop, n, q, s * 1_000_003 + shard, width, seed)
             spans: list[list] = [[] for _ in range(len(start))]
             for i, x, y, t in zip(row.tolist(), (a - start[row]).tolist(), (b - start[row]).tolist(), times.tolist(), strict=True):
                 if t:
@@ -127,10 +137,10 @@ def mix(docs: DataFrame, total: float = 1.5, most: float = 2.0, block: int = 16,
             yield {c: batch.column(c) for c in ("doc_id", "row_key", "source", "size", "source_size", "target")} | {"taken": taken, "spans": spans}
 
     laid = laid.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("n", "quota")})
-    return arrow_map(laid.select("doc_id", "row_key", "source", "size", "source_size", "target", "stop", "n", "quota", "s", "shard"), take, "doc_id long, row_key long, source string, size long, source_size long, target double, taken long, spans array<struct<start:int,stop:int,times:int>>")
+    return arrow_map(laid.select("doc_id", "row_key", "source", "size", "source_size", "target", "stop", "n", "quota", "s", "shard", "width"), take, "doc_id long, row_key long, source string, size long, source_size long, target double, taken long, spans array<struct<start:int,stop:int,times:int>>")
 
 
-def taken_blocks(start: np.ndarray, stop: np.ndarray, n: np.ndarray, quota: np.ndarray, shard: np.ndarray, block: int, seed: int) -> tuple[np.ndarray, ...]:
+def taken_blocks(start: np.ndarray, stop: np.ndarray, n: np.ndarray, quota: np.ndarray, shard: np.ndarray, block: np.ndarray, seed: int) -> tuple[np.ndarray, ...]:
     """Row, start, stop and times taken of the pieces that block borders cut each row's words [start, stop) of its shard into."""
     first, last = start // block, np.where(stop > start, (stop - 1) // block + 1, start // block)
     spread = last - first
@@ -138,12 +148,12 @@ def taken_blocks(start: np.ndarray, stop: np.ndarray, n: np.ndarray, quota: np.n
     each = np.arange(len(row)) - np.repeat(np.cumsum(spread) - spread, spread) + first[row]
     size = np.maximum(n, 1)[row]
     extra = permute(each, size, shard[row].astype(np.int64) * 2_654_435_761 + seed) < quota[row] % size
-    return row, np.maximum(start[row], each * block), np.minimum(stop[row], (each + 1) * block), quota[row] // size + extra
+    return row, np.maximum(start[row], each * block[row]), np.minimum(stop[row], (each + 1) * block[row]), quota[row] // size + extra
 
 
-def mixed(docs: DataFrame, block: int = 2048, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", chars_col: str | None = "n_chars", **parameters) -> DataFrame:
+def mixed(docs: DataFrame, block: int = 16, widest: int | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", chars_col: str | None = "n_chars", **parameters) -> DataFrame:
     """The mix itself, with the columns of docs: a row's taken words as its text, once more in a further row for what is taken twice. What lies between words stays; spans that don't touch are joined by a line feed."""
-    spans = mix(docs, block=block, id_col=id_col, text_col=text_col, source_col=source_col, **parameters).filter("taken > 0")
+    spans = mix(docs, block=block, widest=widest, id_col=id_col, text_col=text_col, source_col=source_col, **parameters).filter("taken > 0")
     spans = spans.groupBy("doc_id", "row_key").agg(F.collect_list("spans").alias("_x_spans")).select(F.col("doc_id").alias("_x_id"), F.col("row_key").alias("_x_key"), "_x_spans")
     keyed = docs.withColumns({"_y_id": F.col(id_col).cast("long"), "_y_key": F.xxhash64(text_col, source_col)}).dropDuplicates(["_y_id", "_y_key"])
     joined = keyed.join(spans, F.col("_y_id").eqNullSafe(F.col("_x_id")) & (F.col("_y_key") == F.col("_x_key"))).drop("_x_id", "_x_key", "_y_id", "_y_key")

@@ -191,3 +191,16 @@ def test_texts_without_their_languages_words_are_rejected(spark):
     assert len(bad) >= 50 and sum(bad) <= 0.1 * len(bad)
     assert sum(r["kept"] for r in rows if r["doc_id"] < -len(foreign)) == 0
     assert sum(good) >= 0.95 * len(good)
+
+
+def test_the_pipelines_mix_keeps_small_sources(spark):
+    import corpus_pipeline
+
+    rows = [(i, "word " * 100, f"small {i % 40:02d}") for i in range(40 * 6)] + [(1000 + i, "word " * 1000, "z") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({"lang": F.lit("en"), "n_chars": F.length("text").cast("long")})
+    goal = {r["source"]: r["target"] for r in mix(docs).select("source", "target").distinct().collect()}
+    taken = Counter()
+    for r in corpus_pipeline.source_mix(spark, docs, "").collect():
+        taken[r["source"]] += len(WORD.findall(r["text"]))
+    assert len(goal) == 41
+    assert all(abs(taken[s] - g) <= max(32, 0.05 * g) for s, g in goal.items())
