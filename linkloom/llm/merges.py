@@ -73,17 +73,17 @@ class Merges:
         out[(left < 0) | (right < 0)] = self.none
         return out
 
-    def tokens(self, words: list[bytes]) -> list[list[int]]:
-        """Ids of each word; all words of one batch should be of about the same length."""
-        out: list[list[int]] = [[]] * len(words)
+    def tokens(self, words: list[bytes], kind: np.dtype) -> list[bytes]:
+        """Ids of each word, packed as kind; words of about the same length go together."""
+        out = [b""] * len(words)
         order = sorted(range(len(words)), key=lambda i: len(words[i]))
         for lo in range(0, len(order), 4096):
             part = order[lo : lo + 4096]
-            for i, ids in zip(part, self._batch([words[i] for i in part]), strict=True):
+            for i, ids in zip(part, self._batch([words[i] for i in part], kind), strict=True):
                 out[i] = ids
         return out
 
-    def _batch(self, words: list[bytes]) -> list[list[int]]:
+    def _batch(self, words: list[bytes], kind: np.dtype) -> list[bytes]:
         sizes = np.array([len(w) for w in words])
         wide = int(sizes.max())
         raw = np.frombuffer(b"".join(w.ljust(wide, b"\0") for w in words), np.uint8).reshape(len(words), wide)
@@ -122,6 +122,6 @@ class Merges:
             flat[prior] = self.rank(token[prior], token[at[back]])
         token = token.reshape(len(words), span)
         there = token >= 0
-        counts, every = there.sum(1), token[there].tolist()
-        ends = np.cumsum(counts)
-        return [every[e - n : e] for n, e in zip(counts.tolist(), ends.tolist(), strict=True)]
+        every = token[there].astype(kind).tobytes()
+        ends = (np.cumsum(there.sum(1)) * kind.itemsize).tolist()
+        return [every[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
