@@ -11,7 +11,7 @@ shard is a range of slots, is written by one task in the order of slots, and is
 its name when it is whole, so that a task that is run again leaves the same file. A reader
 finds any slot by arithmetic and resumes anywhere.
 
-Texts are encoded once: a first pass writes the sequences, each compressed, to a table in the
+Texts are encoded once: a first pass writes the sequences to a table in the
 shared folder, with their partition and place. The numbers come from that table's counts (one small
 row per input partition is all that comes to the driver), and its rows are what is permuted.
 
@@ -83,16 +83,16 @@ def read_slots(uri: str, start: int, count: int, length: int, records: int, voca
         slot += here
 
 
-def materialise(docs: DataFrame, vocabulary: str | None = None, folder: str | None = None, length: int = 1024, records: int = 8192, key: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def materialise(docs: DataFrame, vocabulary: str | None = None, folder: str | None = None, length: int = 1024, records: int = 8192, key: int = 1, most_writers: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Writes the shards to folder (a new one in the shared folder by default); part, seq_no (the place in its partition's stream), slot, shard, position (bytes), n_tokens and doc_ids (whose tokens it has, in order) of every sequence."""
     spark = docs.sparkSession
     small_batches(spark)
     folder = qualified(spark, folder or f"{shared_folder(spark)}/linkloom/shards-{uuid.uuid4().hex}")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return _write(rows, vocabulary, folder, length, records, key)
+    return _write(rows, vocabulary, folder, length, records, key, most_writers)
 
 
-def _write(rows: DataFrame, vocabulary: str | None, folder: str, length: int, records: int, key: int) -> DataFrame:
+def _write(rows: DataFrame, vocabulary: str | None, folder: str, length: int, records: int, key: int, most_writers: int) -> DataFrame:
     spark = rows.sparkSession
     kind, pad = kind_of(vocabulary)
     stride = np.dtype(kind).itemsize * length
@@ -109,7 +109,7 @@ def _write(rows: DataFrame, vocabulary: str | None, folder: str, length: int, re
                     last += 1
                 docs.append([d for _, d in ends[first : last + 1]])
                 first = last + (ends[last][0] <= (i + 1) * stride)
-            payload = [pa.compress(raw[i * stride : (i + 1) * stride], "zstd", asbytes=True) for i in range(k)]
+            payload = [raw[i * stride : (i + 1) * stride] for i in range(k)]
             return {"part": np.full(k, pid), "seq_no": np.arange(done, done + k), "payload": payload, "doc_ids": docs}
 
         for batch in batches:
@@ -127,19 +127,22 @@ def _write(rows: DataFrame, vocabulary: str | None, folder: str, length: int, re
             yield cut(rest + np.full((stride - len(rest)) * length // stride, pad, kind).tobytes(), rest_ids, 1)
 
     table = written(arrow_map(rows, encode, "part int, seq_no long, payload binary, doc_ids array<long>"), "sequences")
-    total, offsets = 0, {}
-    for r in sorted(table.groupBy("part").count().collect()):
+    counts = sorted(table.groupBy("part").count().collect())
+    offsets = np.zeros(counts[-1]["part"] + 1 if counts else 0, np.int64)
+    total = 0
+    for r in counts:
         offsets[r["part"]] = total
         total += r["count"]
 
     def place(batches):
+        pack = pa.Codec("zstd", 3)
         for batch in batches:
-            start = np.array([offsets[p] for p in batch.column("part").to_pylist()], np.int64)
-            slots = permute(start + batch.column("seq_no").to_numpy(), total, key)
-            yield {c: batch.column(c) for c in ("part", "seq_no", "payload", "doc_ids")} | {"slot": slots, "shard": slots // records}
+            slots = permute(offsets[batch.column("part").to_numpy()] + batch.column("seq_no").to_numpy(), total, key)
+            payload = [pack.compress(x, asbytes=True) for x in batch.column("payload").to_pylist()]
+            yield {c: batch.column(c) for c in ("part", "seq_no", "doc_ids")} | {"payload": payload, "slot": slots, "shard": slots // records}
 
-    # A shard's slots are a range, and a shard goes to one task.
-    width = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // records)))
+    # A shard's slots are a range, and a shard goes to one task; there are as many tasks as shards, or most_writers with several shards each.
+    width = max(1, min(most_writers, -(-total // records)))
     placed = arrow_map(table, place, "part int, seq_no long, slot long, shard long, payload binary, doc_ids array<long>").repartition(width, "shard").sortWithinPartitions("shard", "slot")
 
     def write(batches):
