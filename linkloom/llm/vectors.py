@@ -1,15 +1,18 @@
 """Embedding near-duplicates by product quantisation with exact cosine rerank.
 
 Vectors are compared within one label only. Equal vectors form one class. A coarse
-quantiser deals class vectors to inverted lists; each list entry carries subspace codes of
-its residual and the length of what the codes leave out. A query probes each list that its
-neighbours may lie in: those whose border with its own list is nearer than `spread`
-standard deviations of a neighbour's step in a random direction. Table look-ups give
-asymmetric estimates; since an estimate is off by the left-out length at most, no pair of a
+quantiser, with a number of lists that grows with the number of classes, deals class vectors to inverted
+lists; each list entry carries subspace codes of its residual and the length of what the
+codes leave out. Of two neighbours in different lists one at least lies within half their
+distance of the border between the two lists, so each vector probes the lists whose border
+with its own is within half a neighbour's step: the step's length along the border's
+normal, taken as `spread` standard deviations of a step that is spread evenly over all dimensions or like the
+vectors themselves, whichever is longer, and never more than the whole step, at which nothing can be lost.
+A pair that both sides find is counted on its lesser side. Table look-ups give asymmetric
+estimates; since an estimate is off by the left-out length at most, no pair of a
 probed list is lost, and candidates are reranked by the exact cosine in double precision.
-Each pair of classes is found from its lesser side only, so counts agree on both sides.
 
-Only fitting uses a sample (`sample` vectors, in hash order); every vector is indexed and
+Only fitting uses a sample (about `sample` vectors, chosen by hash); every vector is indexed and
 every vector is a query. Lists are cut into chunks of entries and of queries, so a list
 that a third of all vectors fall into is many groups of bounded size, and a group gives
 back counts per vector and a forest of links, never all pairs.
@@ -17,7 +20,8 @@ back counts per vector and a forest of links, never all pairs.
 Null, empty and zero vectors, vectors with null or non-finite components, and vectors
 without a label link with nothing. Vectors of different length aren't compared. Null ids
 get no kept flag of their own: component_id is the least id reachable, null if there is
-none. Repeated rows link with each other like any two equal vectors. Other columns aren't read.
+none. Rows that share an id are vectors of their own, each with its own links, and repeated rows link with
+each other like any two equal vectors. An empty table gives no rows. Other columns aren't read.
 """
 
 from __future__ import annotations
@@ -58,6 +62,7 @@ def nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
 class Quantiser:
     coarse: np.ndarray  # lists x dimensions
     books: np.ndarray  # subspaces x codes x dimensions of a subspace
+    leaning: np.ndarray  # coarse, put so that squared distances are variances of the vectors along a difference
 
     @classmethod
     def fit(cls, x: np.ndarray, lists: int, subspaces: int, codes: int, seed: int = 0) -> Quantiser:
@@ -65,7 +70,10 @@ class Quantiser:
         rest = x - coarse[nearest(x, coarse)]
         parts = next(m for m in range(min(subspaces, x.shape[1]), 0, -1) if x.shape[1] % m == 0)
         split = rest.reshape(len(x), parts, -1)
-        return cls(coarse, np.stack([kmeans(np.ascontiguousarray(split[:, m]), min(codes, len(x)), 8, seed + m) for m in range(parts)]))
+        values, axes = np.linalg.eigh((x - x.mean(0)).T @ (x - x.mean(0)))
+        values = np.maximum(values, 0)
+        root = axes * np.sqrt(values / max(values.sum(), 1e-300))
+        return cls(coarse, np.stack([kmeans(np.ascontiguousarray(split[:, m]), min(codes, len(x)), 8, seed + m) for m in range(parts)]), coarse @ root)
 
     def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """List, codes and left-out length of each vector."""
@@ -75,16 +83,20 @@ class Quantiser:
         known = np.stack([b[codes[:, m]] for m, b in enumerate(self.books)], 1)
         return place, codes.astype(np.uint8), np.sqrt(((rest - known) ** 2).sum((1, 2)))
 
-    def probes(self, x: np.ndarray, step: float) -> np.ndarray:
-        """Rows x lists: whether the list's border with the vector's own list is within step."""
-        d = squared(x, self.coarse)
-        own = d.argmin(1)
-        between = np.sqrt(squared(self.coarse, self.coarse))[own]
-        with np.errstate(divide="ignore", invalid="ignore"):
-            border = (d - d[np.arange(len(x)), own][:, None]) / (2 * between)
-        reach = border <= step
-        reach[np.arange(len(x)), own] = True
-        return reach | (between == 0)
+    def probes(self, x: np.ndarray, own: np.ndarray, step: float, spread: float) -> list[np.ndarray]:
+        """For each vector of list `own` the lists whose border with it is near, its own among them."""
+        out = []
+        for lo in range(0, len(x), 1024):
+            here, mine = x[lo : lo + 1024], own[lo : lo + 1024]
+            d, rows = squared(here, self.coarse), np.arange(len(here))
+            between = squared(self.coarse[mine], self.coarse)
+            along = np.maximum(squared(self.leaning[mine], self.leaning), between / x.shape[1])
+            # (distance to the border) <= min(step / 2, spread / 2 x step x deviation), both sides times 2 x between
+            reach = step * np.minimum(np.sqrt(between), spread * np.sqrt(along))
+            near = d - d[rows, mine][:, None] <= reach + 1e-12
+            near[rows, mine] = True
+            out += [np.flatnonzero(n).astype(np.int32) for n in near]
+        return out
 
     def tables(self, q: np.ndarray) -> np.ndarray:
         """Rows x subspaces x codes: what each code adds to the product."""
@@ -104,24 +116,35 @@ def classes(vectors: DataFrame, id_col: str, vector_col: str, label_col: str) ->
     fine = F.forall("vector", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < big)) & F.exists("vector", lambda v: v != 0)
     rows = rows.withColumn("valid", F.coalesce(F.col("label").isNotNull() & fine, F.lit(False)))
     one = rows.filter("valid").groupBy("label", "vector").agg(F.min("vec_id").alias("least"), F.count("*").alias("n"))
-    return rows, one.withColumn("cid", F.coalesce("least", F.xxhash64("label", "vector")))
+    # A number of its own for each class: vectors that share an id are different classes. It stays once the table is written.
+    return rows, one.withColumn("cid", F.monotonically_increasing_id())
 
 
-def near_vectors(vectors: DataFrame, threshold: float = 0.93, sample: int = 20_000, lists: int = 64, subspaces: int = 8, codes: int = 256, spread: float = 4.0, chunk: int = 2000, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
-    """vec_id, n_links, component_id and kept of every row of vectors."""
+def sampled(one: DataFrame, total: int, sample: int) -> dict[int, np.ndarray]:
+    """About `sample` of all vectors, chosen by hash, as unit rows by dimension."""
+    share = F.pmod(F.xxhash64(F.lit(7), "vector"), F.lit(1 << 30)) < int(min(1.0, sample / max(total, 1)) * (1 << 30))
+    column = one.filter(share).select(F.col("vector").cast("array<double>").alias("v")).toArrow().column("v").combine_chunks()
+    sizes, flat = np.diff(column.offsets.to_numpy()), column.flatten().to_numpy()
+    ends, out = np.cumsum(sizes), {}
+    for dim in np.unique(sizes):
+        x = np.stack([flat[e - dim : e] for e in ends[sizes == dim]])
+        x = x[np.lexsort(x.T[::-1])]
+        out[int(dim)] = x / np.linalg.norm(x, axis=1, keepdims=True)
+    return out
+
+
+def near_vectors(vectors: DataFrame, threshold: float = 0.93, sample: int = 40_000, per_list: int = 400, subspaces: int = 8, codes: int = 256, spread: float = 4.0, chunk: int = 2000, few: int = 100_000, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
+    """vec_id, n_links, component_id and kept of every row of vectors.
+
+    There is a list for each `per_list` classes, but for no fewer than 16 vectors of the sample.
+    """
     small_batches(vectors.sparkSession)
     rows, one = classes(vectors, id_col, vector_col, label_col)
     one = written(one, "vector-classes")
     wide = dict(one.dtypes)["vector"] == "array<double>"
-    sampled = one.select("cid", F.col("vector").cast("array<double>").alias("v")).orderBy(F.xxhash64(F.lit(7), "cid"), "cid").limit(sample).collect()
-    models: dict[int, Quantiser] = {}
-    by_dim: dict[int, list] = {}
-    for r in sampled:
-        by_dim.setdefault(len(r["v"]), []).append(r["v"])
-    for dim, vs in by_dim.items():
-        x = np.array(vs, float)
-        models[dim] = Quantiser.fit(x / np.linalg.norm(x, axis=1, keepdims=True), max(1, min(lists, len(vs) // 16)), subspaces, codes)
-    step = lambda dim: spread * np.sqrt(max(0.0, 2 - 2 * threshold)) / np.sqrt(dim)
+    total = one.count()
+    models = {dim: Quantiser.fit(x, max(1, min(total // per_list, len(x) // 16)), subspaces, codes) for dim, x in sampled(one, total, sample).items()}
+    step = float(np.sqrt(max(0.0, 2 - 2 * threshold)))
 
     def index(batches):
         for batch in batches:
@@ -134,34 +157,35 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, sample: int = 20_0
                 x = unpack(pa.array(raw, pa.binary()), -int(dim) if wide else int(dim))
                 model = models.get(int(dim))
                 if model is None:
-                    place, code, left, reach = np.zeros(len(at), int), np.zeros((len(at), 0), np.uint8), np.zeros(len(at)), np.ones((len(at), 1), bool)
+                    place, code, left, reach = np.zeros(len(at), int), np.zeros((len(at), 0), np.uint8), np.zeros(len(at)), [[0]] * len(at)
                 else:
-                    (place, code, left), reach = model.encode(x), model.probes(x, step(dim))
+                    place, code, left = model.encode(x)
+                    reach = model.probes(x, place, step, spread)
                 yield {
-                    "label": label[at], "dim": np.full(len(at), dim), "list": place, "probes": [np.flatnonzero(r) for r in reach], "cid": cid[at], "n": n[at],
+                    "label": label[at], "dim": np.full(len(at), dim), "list": place, "probes": reach, "cid": cid[at], "n": n[at],
                     "raw": raw, "code": [c.tobytes() for c in code], "left": left,
                 }
 
     kind = dict(one.dtypes)["label"]
     entries = written(arrow_map(one.select("label", "vector", "cid", "n"), index, f"label {kind}, dim int, list int, probes array<int>, cid long, n long, raw binary, code binary, left double"), "vector-lists")
-    # How many chunks each list's entries and queries make, as one map of at most `lists` entries per label: vectors are shuffled once, behind it.
+    # Lists with more entries or queries than a chunk holds; the others are one chunk of each.
     asked = entries.select("label", "dim", F.explode("probes").alias("list"), F.lit(0).alias("e")).unionByName(entries.select("label", "dim", "list", F.lit(1).alias("e")))
-    sizes = asked.groupBy("label", "dim", "list").agg(F.sum("e").alias("es"), F.sum(1 - F.col("e")).alias("qs"))
-    chunks = F.struct(F.greatest(F.ceil(F.col("es") / chunk), F.lit(1)).alias("ec"), F.greatest(F.ceil(F.col("qs") / (8 * chunk)), F.lit(1)).alias("qc"))
-    sizes = sizes.groupBy("label", "dim").agg(F.map_from_entries(F.collect_list(F.struct("list", chunks))).alias("chunks"))
-    cut = entries.join(sizes, ["label", "dim"])
+    sizes = asked.groupBy("label", "dim", "list").agg(F.ceil(F.sum("e") / chunk).alias("ec"), F.ceil(F.sum(1 - F.col("e")) / (8 * chunk)).alias("qc"))
+    long_lists = written(sizes.filter("ec > 1 OR qc > 1"), "long-lists")
+    side = F.broadcast(long_lists) if long_lists.count() <= few else long_lists
     keys = ["label", "dim", "list", "e", "q"]
 
     def dealt_as(rows: DataFrame, query: int) -> DataFrame:
         """Each row in its own chunk, against every chunk of the other kind."""
-        here = F.element_at("chunks", F.col("list"))
         mine, other = ("qc", "ec") if query else ("ec", "qc")
-        rows = rows.withColumns({"mine": F.pmod(F.xxhash64("cid"), here[mine]), "other": F.explode(F.sequence(F.lit(0).cast("long"), here[other] - 1))})
+        at_least = lambda c: F.greatest(F.coalesce(c, F.lit(1)), F.lit(1))
+        rows = rows.join(side, ["label", "dim", "list"], "left")
+        rows = rows.withColumns({"mine": F.pmod(F.xxhash64("cid"), at_least(mine)), "other": F.explode(F.sequence(F.lit(0).cast("long"), at_least(other) - 1))})
         e, q = ("other", "mine") if query else ("mine", "other")
-        return rows.select("label", "dim", "list", F.col(e).alias("e"), F.col(q).alias("q"), F.lit(query).alias("query"), "cid", "n", "raw", "code", "left")
+        return rows.select("label", "dim", "list", F.col(e).alias("e"), F.col(q).alias("q"), F.lit(query).alias("query"), "cid", "n", "raw", "code", "left", "own", "probes")
 
-    queries = cut.withColumns({"list": F.explode("probes"), "code": F.lit(None).cast("binary"), "left": F.lit(0.0)})
-    dealt = dealt_as(cut, 0).unionByName(dealt_as(queries, 1)).repartition(*keys).sortWithinPartitions(*keys, "query")
+    queries = entries.withColumns({"own": F.col("list"), "list": F.explode("probes"), "code": F.lit(None).cast("binary"), "left": F.lit(0.0), "probes": F.lit(None).cast("array<int>")})
+    dealt = dealt_as(entries.withColumn("own", F.col("list")), 0).unionByName(dealt_as(queries, 1)).repartition(*keys).sortWithinPartitions(*keys, "query")
 
     def search(batches):
         key, held = None, []
@@ -179,7 +203,11 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, sample: int = 20_0
         def entry_arrays(tables):
             t = pa.Table.from_batches(tables)
             dim = -key[1] if wide else key[1]
+            probes = t.column("probes").combine_chunks()
+            owner = np.repeat(np.arange(t.num_rows), np.diff(probes.offsets.to_numpy()))
             return {
+                # (entry, list that it probes itself) as one sorted number
+                "probed": np.sort(owner << 32 | probes.flatten().to_numpy().astype(np.int64)),
                 "x": unpack(t.column("raw").combine_chunks(), dim), "cid": t.column("cid").to_numpy(), "n": t.column("n").to_numpy(), "left": t.column("left").to_numpy(),
                 "code": np.frombuffer(b"".join(t.column("code").to_pylist()), np.uint8).reshape(t.num_rows, -1),
             }
@@ -187,7 +215,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, sample: int = 20_0
         def ask(part):
             model, e = models.get(key[1]), state["entries"]
             q_all = unpack(part.column("raw"), -key[1] if wide else key[1])
-            q_id, q_n = part.column("cid").to_numpy(), part.column("n").to_numpy()
+            q_id, q_n, q_own = (part.column(c).to_numpy() for c in ("cid", "n", "own"))
             for lo in range(0, len(q_all), 256):
                 q = q_all[lo : lo + 256]
                 if model is None:
@@ -196,12 +224,18 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, sample: int = 20_0
                     tables = model.tables(q)
                     estimate = (q @ model.coarse[key[2]])[:, None] + sum(tables[:, m][:, e["code"][:, m]] for m in range(e["code"].shape[1]))
                     near = estimate >= threshold - e["left"][None] - 1e-9
-                near &= q_id[lo : lo + 256][:, None] < e["cid"][None]
+                # Within one list each pair shows up from both sides.
+                near &= (q_id[lo : lo + 256][:, None] < e["cid"][None]) | (q_own[lo : lo + 256] != key[2])[:, None]
                 i, j = np.nonzero(near)
                 for s in range(0, len(i), 50_000):
                     a, b = i[s : s + 50_000], j[s : s + 50_000]
                     ok = np.einsum("ij,ij->i", q[a], e["x"][b]) >= threshold
                     a, b = a[ok], b[ok]
+                    # The entry may probe the query's list too, and find the pair there: it counts from the lesser side.
+                    back = b.astype(np.int64) << 32 | q_own[lo + a]
+                    at = np.minimum(np.searchsorted(e["probed"], back), len(e["probed"]) - 1)
+                    ok = (e["probed"][at] != back) | (q_id[lo + a] < e["cid"][b])
+                    a, b = a[ok], b[ok]
                     if len(a):
                         state.setdefault("a", []).append(q_id[lo + a])
                         state.setdefault("b", []).append(e["cid"][b])
