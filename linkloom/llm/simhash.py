@@ -169,14 +169,3 @@ def near_duplicates(docs: DataFrame, radius: int = 3, shingle: int = 3, **column
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     of_code = rooted.join(named, "root").select("code", "component_id")
     return table.join(of_code, "code").select("doc_id", "row_key", F.lower(F.lpad(F.hex("code"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **parameters) -> DataFrame:
-    """The rows of docs without near-duplicates: of each component the row of the least id (nulls last), repeated rows once."""
-    found = near_duplicates(docs, id_col=id_col, text_col=text_col, **parameters)
-    group = F.coalesce(F.col("component_id").cast("string"), F.col("fingerprint"))
-    first = found.groupBy(group.alias("g")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key")).alias("f"))
-    stay = first.select(F.col("f.doc_id").alias("_s_id"), F.col("f.row_key").alias("_s_key"))
-    keyed = docs.withColumns({"_d_id": F.col(id_col).cast("long"), "_d_key": F.xxhash64(text_col)})
-    joined = keyed.join(stay, F.col("_d_id").eqNullSafe(F.col("_s_id")) & (F.col("_d_key") == F.col("_s_key")), "left_semi")
-    return joined.dropDuplicates(["_d_id", "_d_key"]).drop("_d_id", "_d_key")
