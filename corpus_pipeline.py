@@ -14,7 +14,7 @@ from linkloom.llm.mixing import mixed
 from linkloom.llm.quality import quality_filter
 from linkloom.llm.queries import documents, tokenizer
 from linkloom.llm.secrets import redact
-from linkloom.llm.simhash import one_of_each
+from linkloom.llm.wide_simhash import one_of_each
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,7 +23,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, of the least id, of each group of near-duplicates."""
+    """One document, of the least id, of each group of texts with a similarity of 0.8 or more in five-word shingles."""
     return one_of_each(docs)
 
 
@@ -33,8 +33,8 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The words that the mix takes of each document, in blocks of up to 2,048 words (a 64th of its source's target)."""
-    return mixed(docs, widest=2048)
+    """The words that the mix takes, in blocks of up to 2,048 words (a 256th of its source's target); a document of up to a block's width is taken as a whole, or twice, or not."""
+    return mixed(docs, widest=2048, whole=True)
 
 
 def bpe_encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
