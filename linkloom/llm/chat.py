@@ -96,7 +96,7 @@ def format_turns(conversations: DataFrame) -> DataFrame:
                 formatted.append("".join(p for p, _ in parts))
                 cut.append(spans)
                 valid.append(role in FOLLOWS.get(state, ()))
-                state = role if role in FOLLOWS else state
+                state = role if role and role in FOLLOWS else state
             yield {"conv_id": batch.column("conv_id"), "turn": batch.column("turn"), "formatted": formatted, "segments": cut, "valid": valid}
 
     return arrow_map(dealt, run, "conv_id long, turn long, formatted string, segments array<struct<start:int,stop:int,loss:boolean>>, valid boolean")
