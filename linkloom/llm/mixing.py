@@ -5,11 +5,13 @@ A document's size is its number of words. Sources in code point order (null last
 source's size, and the excess is reshared by weight until none is above. Equal-token
 blocks of `block` words are then apportioned to sources by highest quotients
 target / (2 seats + 1). A source's seats may be pooled into wider blocks, by doubling up to `widest`
-words but not beyond a 64th of its target, so that small sources still meet theirs. Within a source
+words but not beyond a 256th of its target, so that small sources still meet theirs. Within a source
 they go to its shards by highest quotients over their
 sizes. A shard of n blocks and quota q takes each block q // n times, and q % n blocks,
-selected by a keyed permutation of the shard's blocks, once more. Documents take the
-words of theirs that lie in taken blocks, so none exceeds `most` (rounded up) times its size.
+selected by a keyed permutation of the shard's blocks, once more. A quota never exceeds `most` times the
+shard's blocks; rounding may ask for one or two more, and these are given up. Documents take the
+words of theirs that lie in taken blocks, so none exceeds `most` (rounded up) times its size. With `whole`,
+a document of up to a block's width is taken as a whole, with the block that its first word lies in.
 
 Null texts have size 0. Repeated rows are documents of their own. Ties in quotients are
 ordered by source and shard, so reruns agree. An empty table, or one without words, takes
@@ -17,7 +19,8 @@ nothing. Other columns aren't read.
 
 The catalogue of sources is the one thing that meets on the driver, one small row per
 source, and `most_sources` is its checked bound. Everything else is spread by source and
-shard, of about `shard_words` words each, so a source with a third of all rows is many groups.
+shard, of about `shard_words` words each, more beyond `most_shards` shards a source, so a source with a
+third of all rows is many groups, and its shards' figures, which meet in one task, are at most so many rows.
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_RE, arrow_map, small_batches, written
+from .common import WORD_RE, arrow_map, fresh, small_batches, written
 from .permute import permute
 
 #: The weights of the first, second and third source, repeating.
@@ -78,13 +81,13 @@ def sainte_lague(seats: int, votes: list[float]) -> list[int]:
 
 
 def block_width(target: float, block: int, widest: int) -> int:
-    """The widest doubling of block that is within widest and a 64th of the target."""
-    while 2 * block <= min(widest, target / 64):
+    """The widest doubling of block that is within widest and a 256th of the target."""
+    while 2 * block <= min(widest, target / 256):
         block *= 2
     return block
 
 
-def mix(docs: DataFrame, total: float = 1.5, most: float = 2.0, block: int = 16, widest: int | None = None, shard_words: int = 1 << 18, seed: int = 0, most_sources: int = 100_000, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mix(docs: DataFrame, total: float = 1.5, most: float = 2.0, block: int = 16, widest: int | None = None, whole: bool = False, shard_words: int = 1 << 18, most_shards: int = 20_000, seed: int = 0, most_sources: int = 100_000, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """doc_id, row_key, source, size, source_size, target, taken, and spans (of words: start, stop, times) of every row of docs."""
     spark = docs.sparkSession
     small_batches(spark, 10_000)
@@ -100,7 +103,7 @@ def mix(docs: DataFrame, total: float = 1.5, most: float = 2.0, block: int = 16,
     seats = sainte_lague(round(sum(goal) / block), goal)
     widths = [block_width(g, block, widest or block) for g in goal]
     plan = spark.createDataFrame(
-        [(s, i, sizes[s], g, round(q * block / w), -(-sizes[s] // shard_words) or 1, w) for i, (s, g, q, w) in enumerate(zip(names, goal, seats, widths, strict=True))],
+        [(s, i, sizes[s], g, round(q * block / w), max(1, min(most_shards, -(-sizes[s] // shard_words))), w) for i, (s, g, q, w) in enumerate(zip(names, goal, seats, widths, strict=True))],
         "p_source string, s int, source_size long, target double, seats long, shards long, width long",
     )
     named = rows.join(F.broadcast(plan) if len(names) < 1000 else plan, F.col("source").eqNullSafe(F.col("p_source"))).drop("p_source")
@@ -125,7 +128,7 @@ def mix(docs: DataFrame, total: float = 1.5, most: float = 2.0, block: int = 16,
         for batch in batches:
             stop, size, n, q, s, shard, width = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("stop", "size", "n", "quota", "s", "shard", "width"))
             start = stop - size
-            row, a, b, times = taken_blocks(start, stop, n, q, s * 1_000_003 + shard, width, seed)
+            row, a, b, times = taken_blocks(start, stop, n, q, s * 1_000_003 + shard, width, seed, whole)
             spans: list[list] = [[] for _ in range(len(start))]
             for i, x, y, t in zip(row.tolist(), (a - start[row]).tolist(), (b - start[row]).tolist(), times.tolist(), strict=True):
                 if t:
@@ -140,30 +143,34 @@ def mix(docs: DataFrame, total: float = 1.5, most: float = 2.0, block: int = 16,
     return arrow_map(laid.select("doc_id", "row_key", "source", "size", "source_size", "target", "stop", "n", "quota", "s", "shard", "width"), take, "doc_id long, row_key long, source string, size long, source_size long, target double, taken long, spans array<struct<start:int,stop:int,times:int>>")
 
 
-def taken_blocks(start: np.ndarray, stop: np.ndarray, n: np.ndarray, quota: np.ndarray, shard: np.ndarray, block: np.ndarray, seed: int) -> tuple[np.ndarray, ...]:
+def taken_blocks(start: np.ndarray, stop: np.ndarray, n: np.ndarray, quota: np.ndarray, shard: np.ndarray, block: np.ndarray, seed: int, whole: bool = False) -> tuple[np.ndarray, ...]:
     """Row, start, stop and times taken of the pieces that block borders cut each row's words [start, stop) of its shard into."""
     first, last = start // block, np.where(stop > start, (stop - 1) // block + 1, start // block)
-    spread = last - first
+    one = (stop > start) & (stop - start <= block) & whole
+    spread = np.where(one, 1, last - first)
     row = np.repeat(np.arange(len(start)), spread)
     each = np.arange(len(row)) - np.repeat(np.cumsum(spread) - spread, spread) + first[row]
     size = np.maximum(n, 1)[row]
     extra = permute(each, size, shard[row].astype(np.int64) * 2_654_435_761 + seed) < quota[row] % size
-    return row, np.maximum(start[row], each * block[row]), np.minimum(stop[row], (each + 1) * block[row]), quota[row] // size + extra
+    return row, np.maximum(start[row], each * block[row]), np.where(one[row], stop[row], np.minimum(stop[row], (each + 1) * block[row])), quota[row] // size + extra
 
 
 def mixed(docs: DataFrame, block: int = 16, widest: int | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", chars_col: str | None = "n_chars", **parameters) -> DataFrame:
     """The mix itself, with the columns of docs: a row's taken words as its text, once more in a further row for what is taken twice. What lies between words stays; spans that don't touch are joined by a line feed."""
     spans = mix(docs, block=block, widest=widest, id_col=id_col, text_col=text_col, source_col=source_col, **parameters).filter("taken > 0")
-    spans = spans.groupBy("doc_id", "row_key").agg(F.collect_list("spans").alias("_x_spans")).select(F.col("doc_id").alias("_x_id"), F.col("row_key").alias("_x_key"), "_x_spans")
-    keyed = docs.withColumns({"_y_id": F.col(id_col).cast("long"), "_y_key": F.xxhash64(text_col, source_col)}).dropDuplicates(["_y_id", "_y_key"])
-    joined = keyed.join(spans, F.col("_y_id").eqNullSafe(F.col("_x_id")) & (F.col("_y_key") == F.col("_x_key"))).drop("_x_id", "_x_key", "_y_id", "_y_key")
+    # Ids and texts as one hash: a key that is never null, for one shuffle of the texts.
+    key, taken_spans = fresh(docs, "mix_key", "mix_spans")
+    as_key = lambda i, t: F.xxhash64(F.coalesce(i.cast("string"), F.lit("none")), t).alias(key)
+    spans = spans.groupBy(as_key(F.col("doc_id"), F.col("row_key"))).agg(F.collect_list("spans").alias(taken_spans))
+    keyed = docs.withColumn(key, as_key(F.col(id_col).cast("long"), F.xxhash64(text_col, source_col))).dropDuplicates([key])
+    joined = keyed.join(spans, key).drop(key)
     names = docs.columns
     at = names.index(text_col)
 
     def cut(batches):
         for batch in batches:
             row, texts = [], []
-            for i, (text, each) in enumerate(zip(batch.column(at).to_pylist(), batch.column("_x_spans").to_pylist(), strict=True)):
+            for i, (text, each) in enumerate(zip(batch.column(at).to_pylist(), batch.column(taken_spans).to_pylist(), strict=True)):
                 words = [m.span() for m in WORDS.finditer(text)]
                 for one in each:
                     for level in range(1, max(s["times"] for s in one) + 1):

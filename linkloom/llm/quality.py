@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_map, small_batches, written
+from .common import arrow_map, fresh, small_batches, written
 
 SYMBOLS = "#*$%&|<>"
 #: The character classes of a text's histogram.
@@ -159,17 +159,21 @@ def references(table: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
     def run(batches):
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
-            langs = batch.column("lang").to_pylist()
+            langs = np.array(batch.column("lang").to_pylist())
             rows = np.hstack([_shares(batch.column(c)) for c in ("classes", "words")])
-            for lang in set(langs):
-                part = rows[[x == lang for x in langs]].sum(0)
-                sums[lang] = sums.get(lang, 0) + part
-        yield {"lang": list(sums), "sums": list(sums.values())}
+            for lang in np.unique(langs):
+                sums[str(lang)] = sums.get(str(lang), 0) + rows[langs == lang].sum(0)
+        if sums:
+            n = len(next(iter(sums.values())))
+            yield {"lang": [x for x in sums for _ in range(n)], "at": list(range(n)) * len(sums), "part": np.concatenate(list(sums.values()))}
 
-    got: dict[str, np.ndarray] = {}
-    for r in arrow_map(distinct.select("lang", "classes", "words"), run, "lang string, sums array<long>").collect():
-        got[r["lang"]] = got.get(r["lang"], 0) + np.array(r["sums"], np.int64)
-    return {lang: (s[:N_CLASSES], s[N_CLASSES:]) for lang, s in got.items()}
+    # Summed by language and place before they come to the driver: at most `languages` rows of each place.
+    each = arrow_map(distinct.select("lang", "classes", "words"), run, "lang string, at int, part long").groupBy("lang", "at").agg(F.sum("part").alias("part"))
+    got: dict[str, dict[int, int]] = {}
+    for r in each.collect():
+        got.setdefault(r["lang"], {})[r["at"]] = r["part"]
+    whole = {lang: np.array([parts[i] for i in range(len(parts))], np.int64) for lang, parts in got.items()}
+    return {lang: (s[:N_CLASSES], s[N_CLASSES:]) for lang, s in whole.items()}
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -192,7 +196,7 @@ def word_limits(refs: dict[str, tuple[np.ndarray, np.ndarray]], most: float, bar
     return out
 
 
-def quality(docs: DataFrame, class_limit: float = 0.30, word_limit: float = 0.60, bare_limit: float = 0.9, least_share: float = 0.2, min_words: int = 80, k: int = 64, languages: int = 256, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def quality(docs: DataFrame, class_limit: float = 0.30, word_limit: float = 0.60, bare_limit: float = 0.9, least_share: float = 0.2, min_words: int = 80, k: int = 64, languages: int = 2000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """Base figures, both distances and `kept` of every row of docs, with row_key (xxhash64 of the text)."""
     small_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("row_key"), F.coalesce(F.col(lang_col), F.lit("")).alias("lang"), F.col(text_col).alias("text"))
@@ -221,7 +225,11 @@ def quality(docs: DataFrame, class_limit: float = 0.30, word_limit: float = 0.60
     return arrow_map(table, run, "doc_id long, row_key long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, class_distance double, word_distance double")
 
 
-def quality_filter(docs: DataFrame, **parameters) -> DataFrame:
-    """The rows of docs that `quality` keeps."""
-    gone = quality(docs, **parameters).filter(~F.col("kept")).select(F.col("doc_id").alias("_q_id"), F.col("row_key").alias("_q_key"))
-    return docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("_q_id")) & (F.xxhash64("text") == F.col("_q_key")), "left_anti")
+def quality_filter(docs: DataFrame, few: int = 100_000, id_col: str = "doc_id", text_col: str = "text", **parameters) -> DataFrame:
+    """The rows of docs that `quality` keeps, with the columns of docs. Up to `few` rejected rows' keys are sent to every executor; beyond that, texts are shuffled to them."""
+    key, its = fresh(docs, "row_hash", "gone_hash")
+    as_key = lambda i, t: F.xxhash64(F.coalesce(i.cast("string"), F.lit("none")), t)
+    gone = quality(docs, id_col=id_col, text_col=text_col, **parameters).filter(~F.col("kept")).select(as_key(F.col("doc_id"), F.col("row_key")).alias(its))
+    gone = written(gone.distinct(), "rejected")
+    keyed = docs.withColumn(key, as_key(F.col(id_col).cast("long"), F.xxhash64(text_col)))
+    return keyed.join(F.broadcast(gone) if gone.count() <= few else gone, F.col(key) == F.col(its), "left_anti").drop(key)

@@ -1,13 +1,13 @@
 """Secret scans with corpus-wide ownership frequency.
 
 Three base patterns give spans per text. Every secret value is hashed, and over the
-whole corpus its distinct owners and repositories are counted: a value that several
-owners hold is a copied example, one that stays with its owner and looks random is a
-live credential. Those add a span of kind `live` over the value.
+whole corpus its distinct owners and repositories are counted: a value that more than `max_owners`
+owners or more than `max_repos` repositories hold is a widely copied example; one that stays
+within both and looks random is a live credential. Those add a span of kind `live` over the value.
 
 Null texts count as empty, null owners as one owner of their own, null ids as one
 repository. Repeated rows count once in the ownership figures and each return a row.
-Ties in start are ordered assign, access, hex, live. Other columns aren't read.
+Ties in start are ordered assign, access, hex, live. An empty table gives no rows. Other columns aren't read.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from collections import Counter
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, small_batches, written
+from .common import arrow_map, fresh, small_batches, written
 
 KINDS = ("assign", "access", "hex", "live")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -90,15 +90,16 @@ def ownership(found: DataFrame) -> DataFrame:
     return by_owner.groupBy("hash").agg(F.count("*").alias("n_owners"), F.sum("repos").alias("n_repos"))
 
 
-def secret_scan(docs: DataFrame, max_owners: int = 2, **columns: str) -> DataFrame:
-    """Base figures of every row, `spans` as text, and `live`: array of (from, to) of owner-specific values; `masks`: array of (from, to) of every value that isn't a widely copied example."""
+def secret_scan(docs: DataFrame, max_owners: int = 2, max_repos: int = 20, **columns: str) -> DataFrame:
+    """Base figures of every row, `spans` as text, and arrays of (from, to): `live`, of values that are owner-specific and look random; `masks`, of all owner-specific values that a name or prefix marks as secret, and of the live ones."""
     found = written(candidates(docs, **columns), "secret-candidates")
-    owned = ownership(found)
+    owned = ownership(found).filter((F.col("n_owners") <= max_owners) & (F.col("n_repos") <= max_repos))
     each = found.filter(F.size("spans") > 0).select("doc_id", "row_key", F.explode("spans").alias("s"))
-    own = each.join(owned.filter(F.col("n_owners") <= max_owners), F.col("s.hash") == F.col("hash")).select("doc_id", "row_key", "s")
+    own = each.join(owned, F.col("s.hash") == F.col("hash")).select("doc_id", "row_key", "s")
+    place = F.struct(F.col("s.from").alias("from"), F.col("s.to").alias("to"))
     verdict = own.groupBy("doc_id", "row_key").agg(
-        F.collect_set(F.when(F.col("s.live"), F.struct(F.col("s.from").alias("from"), F.col("s.to").alias("to")))).alias("live"),
-        F.collect_set(F.struct(F.col("s.from").alias("from"), F.col("s.to").alias("to"))).alias("masks"),
+        F.collect_set(F.when(F.col("s.live"), place)).alias("live"),
+        F.collect_set(F.when(F.col("s.live") | (F.col("s.kind") != "hex"), place)).alias("masks"),
     ).select(F.col("doc_id").alias("v_id"), F.col("row_key").alias("v_key"), "live", "masks")
     joined = found.join(verdict, F.col("doc_id").eqNullSafe(F.col("v_id")) & (F.col("row_key") == F.col("v_key")), "left").drop("v_id", "v_key")
     order = F.create_map(*[x for i, k in enumerate(KINDS) for x in (F.lit(k), F.lit(i))])
@@ -108,25 +109,40 @@ def secret_scan(docs: DataFrame, max_owners: int = 2, **columns: str) -> DataFra
     return joined.select("doc_id", "row_key", "n_assign", "n_access", "n_hex", "base_sha256", F.array_join(told, ",").alias("spans"), "live", "masks")
 
 
-def redact(docs: DataFrame, mark: str = "[SECRET]", max_owners: int = 2, text_col: str = "text", id_col: str = "doc_id", owner_col: str = "source", chars_col: str = "n_chars") -> DataFrame:
-    """docs with every secret value that isn't a widely copied example replaced by mark; all rows stay."""
-    scanned = secret_scan(docs, max_owners, id_col=id_col, text_col=text_col, owner_col=owner_col)
-    masks = scanned.filter(F.size("masks") > 0).select(F.col("doc_id").alias("_m_id"), F.col("row_key").alias("_m_key"), F.col("masks").alias("_masks")).dropDuplicates(["_m_id", "_m_key"])
-    joined = docs.join(masks, F.col(id_col).cast("long").eqNullSafe(F.col("_m_id")) & (F.xxhash64(text_col) == F.col("_m_key")), "left").drop("_m_id", "_m_key")
-    # From the last span to the first, so that earlier offsets stay; spans that overlap one already replaced are cut there.
-    ordered = F.array_sort(F.col("_masks"))
-    folded = F.aggregate(
-        ordered,
-        F.struct(F.lit("").alias("out"), F.lit(0).alias("at")),
-        lambda acc, m: F.when(m["to"] <= acc["at"], acc).otherwise(
-            F.struct(
-                F.concat(acc["out"], F.substring(F.col(text_col), acc["at"] + 1, F.greatest(m["from"] - acc["at"], F.lit(0))), F.when(m["from"] >= acc["at"], F.lit(mark)).otherwise(F.lit(""))).alias("out"),
-                m["to"].alias("at"),
-            )
-        ),
-        lambda acc: F.concat(acc["out"], F.substring(F.col(text_col), acc["at"] + 1, F.length(text_col))),
-    )
-    out = joined.withColumn(text_col, F.when(F.col("_masks").isNotNull(), folded).otherwise(F.col(text_col)))
-    if chars_col in docs.columns:
-        out = out.withColumn(chars_col, F.when(F.col("_masks").isNotNull(), F.length(text_col).cast(docs.schema[chars_col].dataType)).otherwise(F.col(chars_col)))
-    return out.drop("_masks")
+def masked(text: str, places: list[tuple[int, int]], mark: str) -> str:
+    """text with mark in place of each stretch that places cover; what overlaps is one stretch. One pass over the text."""
+    out, at, open_ = [], 0, -1
+    for a, b in sorted(places):
+        if a >= at or open_ < 0:
+            out += [text[at:a], mark]
+            open_ = 0
+        at = max(at, b)
+    return "".join([*out, text[at:]])
+
+
+def redact(docs: DataFrame, mark: str = "[SECRET]", max_owners: int = 2, max_repos: int = 20, few: int = 100_000, text_col: str = "text", id_col: str = "doc_id", owner_col: str = "source", chars_col: str = "n_chars") -> DataFrame:
+    """docs with every secret value that `masks` of secret_scan covers replaced by mark; all rows stay. Up to `few` texts' masks are sent to every executor; beyond that, texts are shuffled to them."""
+    scanned = secret_scan(docs, max_owners, max_repos, id_col=id_col, text_col=text_col, owner_col=owner_col)
+    key, its, places = fresh(docs, "mask_key", "mask_of", "mask_places")
+    as_key = lambda i, t: F.xxhash64(F.coalesce(i.cast("string"), F.lit("none")), t)
+    masks = scanned.filter(F.size("masks") > 0).select(as_key(F.col("doc_id"), F.col("row_key")).alias(its), F.col("masks").alias(places)).dropDuplicates([its])
+    masks = written(masks, "secret-masks")
+    keyed = docs.withColumn(key, as_key(F.col(id_col).cast("long"), F.xxhash64(text_col)))
+    joined = keyed.join(F.broadcast(masks) if masks.count() <= few else masks, F.col(key) == F.col(its), "left").drop(key, its)
+    names = docs.columns
+    text_at, chars_at = names.index(text_col), names.index(chars_col) if chars_col in names else -1
+
+    def run(batches):
+        for batch in batches:
+            columns = [batch.column(k) for k in range(len(names))]
+            spots = batch.column(len(names))
+            if spots.null_count < len(spots):
+                texts, each = columns[text_at].to_pylist(), spots.to_pylist()
+                texts = [masked(t, [(p["from"], p["to"]) for p in ps], mark) if ps else t for t, ps in zip(texts, each, strict=True)]
+                columns[text_at] = texts
+                if chars_at >= 0:
+                    columns[chars_at] = [len(t) if ps else n for t, ps, n in zip(texts, each, columns[chars_at].to_pylist(), strict=True)]
+            yield dict(zip(names, columns, strict=True))
+
+    small_batches(docs.sparkSession)
+    return arrow_map(joined, run, docs.schema)

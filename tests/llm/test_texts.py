@@ -170,6 +170,9 @@ def test_ownership_sets_examples_apart(spark, nothing):
             assert spans == "assign:2:24"
     out = {r["doc_id"]: r["text"] for r in redact(df).collect()}
     assert redact(df).count() == len(rows) and redact(df).columns == df.columns
+    many = spark.createDataFrame([(i, own if i < 21 else f"{i} {shared}", "one source") for i in range(41)], "doc_id long, text string, source string")
+    assert {r["spans"].count("live") for r in secret_scan(many, max_repos=20).filter("doc_id < 21").collect()} == {0}  # 21 repositories of one owner
+    assert {r["spans"].count("live") for r in secret_scan(many, max_repos=20).filter("doc_id > 20").collect()} == {1}
     assert out[1] == "x token=[SECRET] y" and out[10] == shared and out[27] is None and out[28] == ""
     assert KEY not in out[20] and out[26] == "é token=[SECRET]"
     assert secret_scan(nothing).count() == 0
