@@ -21,22 +21,21 @@ STREET_FOLDS = {
     "colony": "col", "rue": "r", "allee": "all", "chemin": "ch", "route": "rte", "impasse": "imp", "cite": "cit", "strasse": "str",
 }
 
-# Names of countries, by code.
-COUNTRY_NAMES = {
-    "us": ["us", "usa", "united states", "united states of america"],
-    "in": ["in", "ind", "india", "bharat"],
-    "fr": ["fr", "fra", "france"],
-    "gb": ["gb", "uk", "united kingdom", "great britain", "england"],
-    "de": ["de", "deu", "germany", "deutschland"],
-    "ca": ["ca", "can", "canada"],
-    "au": ["au", "aus", "australia"],
-    "cn": ["cn", "chn", "china"],
-    "jp": ["jp", "jpn", "japan"],
-}
-COUNTRY_FOLDS = {name: code for code, names in COUNTRY_NAMES.items() for name in names if name != code}
+# Names of countries, and their code.
+COUNTRY_FOLDS = {
+    "usa": "us", "united states": "us", "united states of america": "us",
+    "ind": "in", "india": "in", "bharat": "in",
+    "fra": "fr", "france": "fr",
+    "uk": "gb", "united kingdom": "gb", "great britain": "gb", "england": "gb",
+    "deu": "de", "germany": "de", "deutschland": "de",
+    "can": "ca", "canada": "ca",
+    "aus": "au", "australia": "au",
+    "chn": "cn", "china": "cn",
+    "jpn": "jp", "japan": "jp",
+}
 
 # Endings that are cut off a domain, once.
 DOMAIN_ENDINGS = ["com", "net", "org", "in", "fr", "co", "io", "biz", "info", "gouv.fr", "co.in", "co.uk", "edu", "gov", "mil", "int", "eu"]
 
-# Letters that stand for two.
-DOUBLE_LETTERS = {"ß": "ss", "æ": "ae", "œ": "oe"}
+# Latin letters that neither decomposition nor their name reduces to ASCII letters.
+LETTERS = {"ß": "ss", "ẞ": "Ss", "æ": "ae", "Æ": "AE", "œ": "oe", "Œ": "OE", "þ": "th", "Þ": "Th", "ð": "d", "Ð": "D", "ŋ": "ng", "Ŋ": "NG", "ı": "i"}

@@ -50,17 +50,23 @@ def first_word(base: Column) -> Column:
     return F.split_part(base, F.lit(" "), F.lit(1))
 
 
+def numbers(raw: Column, digits: str = P.DIGITS) -> Column:
+    """The words of raw that are digits throughout, in order; words are runs of letters, digits and underscores."""
+    return F.filter(F.split(F.coalesce(raw, F.lit("")), P.BETWEEN_WORDS), lambda w: F.rlike(w, F.lit(digits)))
+
+
 def numeric_tokens(raw: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(F.coalesce(raw, F.lit("")), F.lit(P.NUMBER), 0))
+    return F.array_distinct(numbers(raw))
 
 
 def postal_tokens(raw: Column) -> Column:
-    raw = F.coalesce(raw, F.lit(""))
-    return F.array_union(F.regexp_extract_all(raw, F.lit(P.POSTAL), 0), F.regexp_extract_all(F.lower(raw), F.lit(P.CEDEX), 0))
+    """Numbers of five or six digits, and French delivery words with their number."""
+    return F.array_union(numbers(raw, P.POSTAL_DIGITS), F.regexp_extract_all(F.lower(F.coalesce(raw, F.lit(""))), F.lit(P.DELIVERY), 0))
 
 
 def phone_tokens(raw: Column) -> Column:
-    digits = F.regexp_extract_all(F.regexp_replace(F.coalesce(raw, F.lit("")), P.PHONE_NOISE, ""), F.lit(P.PHONE), 0)
+    """Runs of 7 to 15 digits once the usual signs between them are gone; the last ten digits of each."""
+    digits = F.regexp_extract_all(F.translate(F.coalesce(raw, F.lit("")), P.PHONE_SIGNS, ""), F.lit(P.PHONE_DIGITS), 0)
     return F.array_distinct(F.transform(digits, lambda d: F.right(d, F.lit(10))))
 
 
@@ -76,4 +82,5 @@ def legal_suffix(full: Column) -> Column:
 
 
 def street_number(raw: Column) -> Column:
-    return F.nullif(F.regexp_extract(F.coalesce(raw, F.lit("")), P.NUMBER, 0), F.lit(""))
+    """The first number; null if there is none."""
+    return F.try_element_at(numbers(raw), F.lit(1))

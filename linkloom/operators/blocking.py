@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .metrics import true_pairs
+
 TOP_K, BONUS, LEAST_SCORE, FLOOR, MOST_SHARE = 10, 3.0, 1.5, 0.35, 0.03
 
 
@@ -90,9 +92,9 @@ def candidates(references: DataFrame, prepared: DataFrame, top_k: int = TOP_K, b
 
 def recall(found: DataFrame, truth: DataFrame) -> DataFrame:
     """One row: recall over true pairs (1 if there are none), mean and total candidates over the truth's entities."""
-    pairs = truth.select("s1_id", F.explode("truth").alias("cand_id"))
+    pairs = true_pairs(truth)
     hit = pairs.join(found.select("s1_id", "cand_id"), ["s1_id", "cand_id"], "left_semi")
-    counts = truth.select("s1_id").join(found.groupBy("s1_id").agg(F.count("*").alias("n")), "s1_id", "left")
+    counts = truth.select("s1_id").distinct().join(found.groupBy("s1_id").agg(F.count("*").alias("n")), "s1_id", "left")
     return (
         pairs.agg(F.count("*").alias("true_pairs"))
         .crossJoin(hit.agg(F.count("*").alias("found_pairs")))

@@ -19,13 +19,26 @@ def f_beta(tp: Column, predicted: Column, true: Column, beta2: float = 0.25) ->
     return F.when((true == 0) & (predicted == 0), 1.0).when((true == 0) | (predicted == 0), 0.0).otherwise(score)
 
 
+def true_pairs(truth: DataFrame) -> DataFrame:
+    """s1_id and cand_id of a truth: either a row per pair (cand_id null where an entity has none) or a row per entity with the array `truth`."""
+    if "truth" in truth.columns:
+        return truth.select("s1_id", F.explode("truth").alias("cand_id")).distinct()
+    return truth.filter("cand_id IS NOT NULL").select("s1_id", "cand_id").distinct()
+
+
+def true_sizes(truth: DataFrame) -> DataFrame:
+    """s1_id and n_true of every entity of a truth."""
+    if "truth" in truth.columns:
+        return truth.select("s1_id", F.size(F.array_distinct("truth")).cast("long").alias("n_true"))
+    return truth.select("s1_id", "cand_id").distinct().groupBy("s1_id").agg(F.count("cand_id").alias("n_true"))
+
+
 def entity_counts(truth: DataFrame, matches: DataFrame) -> DataFrame:
     """s1_id, n_true, n_pred, tp of every entity of the truth."""
-    true = truth.select("s1_id", F.explode("truth").alias("cand_id")).distinct().withColumn("t", F.lit(1))
+    true = true_pairs(truth).withColumn("t", F.lit(1))
     hits = matches.select("s1_id", "cand_id").distinct().join(true, ["s1_id", "cand_id"], "left")
     predicted = hits.groupBy("s1_id").agg(F.count("*").alias("n_pred"), F.count("t").alias("tp"))
-    sizes = truth.select("s1_id", F.size(F.array_distinct("truth")).cast("long").alias("n_true"))
-    return sizes.join(predicted, "s1_id", "left").na.fill(0, ["n_pred", "tp"])
+    return true_sizes(truth).join(predicted, "s1_id", "left").na.fill(0, ["n_pred", "tp"])
 
 
 def entity_scores(truth: DataFrame, matches: DataFrame) -> DataFrame:
@@ -57,8 +70,8 @@ def macro_f05(truth: DataFrame, matches: DataFrame) -> DataFrame:
 def _grid(scored: DataFrame, truth: DataFrame, grid: DataFrame, keep: Callable[[Column], Column]) -> DataFrame:
     """Figures of every grid row: scores cross the grid (at most some hundred rows, a fixed list), counts are summed per entity, entities without a match are added by the grid alone."""
     keys = grid.columns
-    true = truth.select("s1_id", F.explode("truth").alias("cand_id")).distinct().withColumn("t", F.lit(1))
-    known = truth.select("s1_id", F.size(F.array_distinct("truth")).cast("long").alias("n_true"))
+    true = true_pairs(truth).withColumn("t", F.lit(1))
+    known = true_sizes(truth)
     rows = scored.join(known, "s1_id").join(true, ["s1_id", "cand_id"], "left").withColumn("top", F.max("score").over(Window.partitionBy("s1_id")))
     rows = rows.groupBy("s1_id", "n_true", "top").agg(F.collect_list(F.struct("score", F.coalesce("t", F.lit(0)).alias("t"))).alias("c"))
     rows = known.join(rows.select("s1_id", "top", "c"), "s1_id", "left").crossJoin(F.broadcast(grid))

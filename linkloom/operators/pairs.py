@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .metrics import true_pairs
+
 
 def join_records(candidates: DataFrame, references: DataFrame, others: DataFrame) -> DataFrame:
     """candidates with structs a (the reference record) and b (the other one); pairs without a record are dropped."""
@@ -15,7 +17,7 @@ def join_records(candidates: DataFrame, references: DataFrame, others: DataFrame
 
 def label(pairs: DataFrame, truth: DataFrame) -> DataFrame:
     """pairs with label: 1 for a true pair, else 0."""
-    true = truth.select("s1_id", F.explode("truth").alias("cand_id")).distinct().withColumn("_true", F.lit(1))
+    true = true_pairs(truth).withColumn("_true", F.lit(1))
     return pairs.join(true, ["s1_id", "cand_id"], "left").withColumn("label", F.coalesce("_true", F.lit(0))).drop("_true")
 
 

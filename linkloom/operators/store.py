@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.storagelevel import StorageLevel
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """df computed once: a checkpoint where the cluster names a shared folder for them, else memory and disk, to be recomputed from its lineage if lost."""
-    context = df.sparkSession.sparkContext
-    if folder := context.getConf().get("spark.checkpoint.dir"):
-        if not context.getCheckpointDir():
-            context.setCheckpointDir(folder)
-        return df.checkpoint()
+    """df computed once: a Parquet table where the cluster names a shared folder for checkpoints, of which each branch reads only its columns; else memory and disk, to be recomputed from its lineage if lost."""
+    spark = df.sparkSession
+    if folder := spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir"):
+        path = f"{folder.rstrip('/')}/linkloom/table-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
     return df.persist(StorageLevel.MEMORY_AND_DISK)
 
 

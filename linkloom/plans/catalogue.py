@@ -7,6 +7,7 @@ and `pages`. Doubles are rounded to six places on both sides.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,25 +55,55 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prepare(R.records(spark, sf_dir))
 
 
+class Run:
+    """The tables that one query builds on, each made and stored at most once."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
+
+    @cached_property
+    def records(self) -> DataFrame:
+        return stored(prepare(R.records(self.spark, self.sf_dir)))
+
+    @property
+    def sides(self) -> tuple[DataFrame, DataFrame]:
+        """Reference records, and the records of both other sources."""
+        return self.records.filter(c("entity_id").startswith("S1-")), self.records.filter(~c("entity_id").startswith("S1-"))
+
+    @cached_property
+    def found(self) -> DataFrame:
+        return stored(spread(B.candidates(*self.sides)))
+
+    @property
+    def pairs(self) -> DataFrame:
+        a, b = self.sides
+        return C.join_records(self.found, with_forms(a), with_forms(b))
+
+    @cached_property
+    def scored(self) -> DataFrame:
+        """Accuracy features and a closed-form score: no model, so that SQL has the same."""
+        return stored(accuracy_features(without_ratios(self.pairs)).withColumn("score", 0.6 * F.col("name_base_levenshtein_sim") + 0.4 * F.col("addr_token_jaccard")))
+
+    @property
+    def matches(self) -> DataFrame:
+        return D.decide(self.scored, 0.6, 0.11)
+
+
 def sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Reference records, and the records of both other sources, prepared once for all branches."""
-    every = stored(prepare(R.records(spark, sf_dir)))
-    return every.filter(c("entity_id").startswith("S1-")), every.filter(~c("entity_id").startswith("S1-"))
+    return Run(spark, sf_dir).sides
 
 
 def found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stored(B.candidates(*sides(spark, sf_dir)))
+    """Candidates that nothing else of the query reads: not stored."""
+    return B.candidates(*sides(spark, sf_dir))
 
 
 def candidate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a, b = sides(spark, sf_dir)
-    return C.join_records(stored(spread(B.candidates(a, b))), with_forms(a), with_forms(b))
+    return Run(spark, sf_dir).pairs
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Accuracy features and a closed-form score: no model, so that SQL has the same."""
-    features = accuracy_features(without_ratios(candidate_pairs(spark, sf_dir)))
-    return stored(features.withColumn("score", 0.6 * F.col("name_base_levenshtein_sim") + 0.4 * F.col("addr_token_jaccard")))
+    return Run(spark, sf_dir).scored
 
 
 def without_ratios(pairs: DataFrame) -> DataFrame:
@@ -107,7 +138,7 @@ _scalar("block_tokens", lambda: joined(c("tokens")), O.joined("tokens"))
 _scalar("block_addr_tokens", lambda: joined(T.words(c("addr"), 3)), O.joined(O.words("addr", 3)))
 _scalar("char_ngrams", lambda: joined(T.char_ngrams(c("full"), 3)), O.joined(O.ngrams('"full"', 3)))
 _scalar("legal_suffix", lambda: F.coalesce(T.legal_suffix(c("full")), F.lit("")), f"coalesce({O.suffix(chr(34) + 'full' + chr(34))}, '')")
-_scalar("street_number", lambda: F.coalesce(T.street_number(c("address")), F.lit("")), f"coalesce(nullif(regexp_extract(address, {O.q(O.P.NUMBER)}), ''), '')")
+_scalar("street_number", lambda: F.coalesce(T.street_number(c("address")), F.lit("")), f"coalesce(nullif(regexp_extract(address, {O.q(O.NUMBER)}), ''), '')")
 _scalar("entity_split", lambda: C.md5_fold(c("entity_id"), 5), "CAST(list_sum(list_transform(string_split(md5(entity_id), ''), lambda x: position(x IN '0123456789abcdef') - 1)) % 5 AS INT)")
 
 
@@ -242,7 +273,8 @@ _DOT = "SELECT cand.s1_id, cand.cand_id, least(1.0::DOUBLE, greatest(0.0::DOUBLE
 
 @query(f"SELECT n.s1_id, n.cand_id, round(n.v, 6) AS name_tfidf_cosine, round(d.v, 6) AS addr_tfidf_cosine FROM ({_DOT.format(k='name')}) n JOIN ({_DOT.format(k='addr')}) d ON d.s1_id = n.s1_id AND d.cand_id = n.cand_id")
 def tfidf_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, pairs = stored(records(spark, sf_dir)), found(spark, sf_dir)
+    run = Run(spark, sf_dir)
+    rows, pairs = run.records, run.found
     out = pairs.select("s1_id", "cand_id")
     for kind, column in (("name", "base"), ("addr", "addr")):
         vectors = V.transform(rows, "entity_id", column, V.fit(rows, column))
@@ -278,7 +310,7 @@ def guard_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def base_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.decide(scored(spark, sf_dir), 0.6, 0.11)
+    return Run(spark, sf_dir).matches
 
 
 @query("SELECT s1_id, cand_id, round(score, 6) AS score FROM matches")
@@ -344,19 +376,19 @@ _LISTS = "SELECT e.entity_id AS source1_entity_id, coalesce(string_agg(m.cand_id
 
 @query(_LISTS.format(n="matched_entity_ids", t="matches"))
 def matching_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tsv.matching_results(sides(spark, sf_dir)[0].select(c("entity_id").alias("s1_id")), base_matches(spark, sf_dir))
+    run = Run(spark, sf_dir)
+    return tsv.matching_results(run.sides[0].select(c("entity_id").alias("s1_id")), run.matches)
 
 
 @query(_LISTS.format(n="candidate_entity_ids", t="cand"))
 def candidate_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tsv.candidate_pairs(sides(spark, sf_dir)[0].select(c("entity_id").alias("s1_id")), found(spark, sf_dir))
+    a, b = sides(spark, sf_dir)
+    return tsv.candidate_pairs(a.select(c("entity_id").alias("s1_id")), B.candidates(a, b))
 
 
 @query("SELECT s1_id, unnest(truth) AS cand_id FROM truth")
 def truth_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The truth through its list form and back."""
-    t = R.truth(spark, sf_dir).select(c("s1_id").alias("source1_entity_id"), F.array_join("truth", ",").alias("matched_entity_ids"))
-    return tsv.truth_pairs(t)
+    return M.true_pairs(R.truth(spark, sf_dir))
 
 
 #: Result rows with every kind of mistake, over the derived ids.
@@ -396,4 +428,5 @@ ORACLES["validate_format"] = "WITH a1 AS (" + _A1 + "), a2 AS (" + _A2 + "), " +
 @query("SELECT s1_id, cand_id FROM cand WHERE NOT EXISTS (SELECT 1 FROM matches WHERE matches.s1_id = cand.s1_id AND matches.cand_id = cand.cand_id)")
 def validate_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates taken as matches and matches as candidates: everything that wasn't matched is a violation."""
-    return Q.subset_violations(found(spark, sf_dir), base_matches(spark, sf_dir))
+    run = Run(spark, sf_dir)
+    return Q.subset_violations(run.found, run.matches)

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from ..functions import patterns as P
-from ..functions.lexicon import COUNTRY_FOLDS, DOUBLE_LETTERS, LEGAL_SUFFIXES, STREET_FOLDS, SUFFIX_FOLDS
+from ..functions.lexicon import COUNTRY_FOLDS, DOMAIN_ENDINGS, LEGAL_SUFFIXES, LETTERS, STREET_FOLDS, SUFFIX_FOLDS
 from ..operators.features import ACCURACY, BASE
 
 
@@ -15,16 +14,25 @@ def case(x: str, folds: dict[str, str]) -> str:
     return f"CASE {x} " + " ".join(f"WHEN {q(a)} THEN {q(b)}" for a, b in folds.items()) + f" ELSE {x} END"
 
 
+#: The oracle's own patterns, none of them shared with the engine.
+WORD_CHARS = r"\p{L}\p{N}_"
+NUMBER = r"\b[0-9]+\b"
+STROKES = ("øđłħŧƀɨɵʉ", "odlhtbiou")
+
+
 def clean(x: str) -> str:
-    out = f"lower(strip_accents({x}))"
-    for letter, two in DOUBLE_LETTERS.items():
-        out = f"replace({out}, {q(letter)}, {q(two)})"
-    return f"trim(regexp_replace(regexp_replace({out}, {q(P.NOT_WORD)}, ' ', 'g'), {q(P.SPACE)}, ' ', 'g'))"
+    out = f"translate(lower(strip_accents({x})), {q(STROKES[0])}, {q(STROKES[1])})"
+    for letter, plain in LETTERS.items():
+        out = f"replace({out}, {q(letter)}, {q(plain.lower())})" if letter.islower() else out
+    return f"trim(regexp_replace({out}, {q('[^' + WORD_CHARS + r'\p{M}]+')}, ' ', 'g'))"
 
 
 def domain(x: str) -> str:
-    host = f"regexp_replace(regexp_extract(trim({x}), {q(P.HOST)}, 1), {q(P.ENDING)}, '', 'i')"
-    return f"CASE WHEN (contains({x}, '.') OR contains({x}, '/')) AND regexp_matches(trim({x}), {q(P.HOST)}) THEN {clean(f'regexp_replace({host}, {q('[._-]')}, {q(' ')}, {q('g')})')} ELSE {clean(x)} END"
+    name = f"trim({x})"
+    server = rf"regexp_extract({name}, '^(?:[hH][tT][tT][pP][sS]?://)?([a-zA-Z0-9.-]+)(:[0-9]+)?(/[^\n]*)?$', 1)"
+    host = f"regexp_replace({server}, '^[wW][wW][wW][0-9]?[.](.)', '\\1')"
+    ending = "(?i)[.](" + "|".join(e.replace(".", "[.]") for e in sorted(DOMAIN_ENDINGS, key=len, reverse=True)) + ")$"
+    return f"CASE WHEN (contains({x}, '.') OR contains({x}, '/')) AND {server} <> '' THEN {clean(f'regexp_replace(regexp_replace({host}, {q(ending)}, {q('')}), {q('[._-]')}, {q(' ')}, {q('g')})')} ELSE {clean(x)} END"
 
 
 def words(x: str, least: int = 2) -> str:
@@ -88,15 +96,16 @@ def bigrams(x: str) -> str:
 
 
 def numbers(x: str) -> str:
-    return f"list_distinct(regexp_extract_all({x}, {q(P.NUMBER)}))"
+    return f"list_distinct(regexp_extract_all({x}, {q(NUMBER)}))"
 
 
 def postals(x: str) -> str:
-    return f"list_distinct(list_concat(regexp_extract_all({x}, {q(P.POSTAL)}), regexp_extract_all(lower({x}), {q(P.CEDEX)})))"
+    cedex = r"\b(?:cedex|bp)(?:\s+[0-9]+)?\b"
+    return f"list_distinct(list_concat(list_filter({numbers(x)}, lambda n: length(n) IN (5, 6)), regexp_extract_all(lower({x}), {q(cedex)})))"
 
 
 def phones(x: str) -> str:
-    return f"list_distinct(list_transform(regexp_extract_all(regexp_replace({x}, {q(P.PHONE_NOISE)}, '', 'g'), {q(P.PHONE)}), lambda d: right(d, 10)))"
+    return f"list_distinct(list_transform(regexp_extract_all(regexp_replace({x}, {q(r'[\s\-.()+]')}, '', 'g'), '[0-9][0-9]{{6,14}}'), lambda d: right(d, 10)))"
 
 
 def blocking_tokens(x: str) -> str:
@@ -104,7 +113,7 @@ def blocking_tokens(x: str) -> str:
 
 
 def country(x: str) -> str:
-    return case(f"trim(regexp_replace(lower(trim({x})), {q(P.NOT_WORD)}, '', 'g'))", COUNTRY_FOLDS)
+    return case(f"trim(regexp_replace(lower(trim({x})), {q('[^' + WORD_CHARS + r'\p{M}\s\p{Z}]')}, '', 'g'))", COUNTRY_FOLDS)
 
 
 def fold_words(x: str, folds: dict[str, str]) -> str:
@@ -121,11 +130,10 @@ CTES: dict[str, str] = {}
 def _build() -> None:
     c = CTES
     c["l"] = "SELECT doc_id, coalesce(lang, '') AS lang, split_part(coalesce(text, ''), chr(10), 1) AS l1 FROM documents"
-    c["rare"] = "SELECT lower(l1) AS k FROM l GROUP BY 1 HAVING count(*) <= 8"
-    c["rec"] = """SELECT CAST(doc_id % 3 + 1 AS INT) AS src, lower(l1) AS k, 'S' || (doc_id % 3 + 1) || '-' || doc_id AS entity_id,
+    c["rec"] = """SELECT CAST(CASE WHEN doc_id % 3 > 0 THEN doc_id % 3 + 1 WHEN doc_id = min(doc_id) FILTER (doc_id % 3 = 0) OVER (PARTITION BY lower(l1)) THEN 1 ELSE doc_id // 3 % 2 + 2 END AS INT) AS src, lower(l1) AS k, 'S' || src || '-' || doc_id AS entity_id,
         array_to_string(list_slice(string_split(l1, ' '), 1, 5), ' ') AS name,
         length(l1) || ' ' || array_to_string(list_slice(string_split(l1, ' '), 6, 10), ' ') || ' Street ' || (10000 + length(l1) * 37 % 89999) AS address, lang AS raw_country
-        FROM l JOIN rare ON lower(l1) = rare.k"""
+        FROM l"""
     c["dom"] = f"SELECT *, {domain('name')} AS dom, {clean('address')} AS cleaned FROM rec"
     c["prep0"] = f"SELECT *, {fold_words('dom', SUFFIX_FOLDS)} AS \"full\", {drop_suffixes('dom')} AS base, {fold_words('cleaned', STREET_FOLDS)} AS addr, {country('raw_country')} AS country FROM dom"
     c["prep"] = f"SELECT *, {numbers('address')} AS nums, {postals('address')} AS postals, {blocking_tokens('base')} AS tokens FROM prep0"
@@ -150,7 +158,7 @@ def _build() -> None:
     forms = {
         "words": words("base"), "grams2": bigrams("base"), "abbrev": f"array_to_string(list_transform(list_sort({words('base')}), lambda w: substr(w, 1, 1)), '')", "first": "split_part(base, ' ', 1)",
         "full3": ngrams('"full"', 3), "full4": ngrams('"full"', 4), "suffix": suffix('"full"'), "addr_words": words("addr"), "addr3": ngrams("addr", 3), "addr4": ngrams("addr", 4),
-        "street": f"nullif(regexp_extract(address, {q(P.NUMBER)}), '')", "sorted_full": sorted_words('"full"'), "sorted_addr": sorted_words("addr"),
+        "street": f"nullif(regexp_extract(address, {q(NUMBER)}), '')", "sorted_full": sorted_words('"full"'), "sorted_addr": sorted_words("addr"),
     }
     c["forms"] = "SELECT *, " + ", ".join(f"{v} AS {k}" for k, v in forms.items()) + " FROM prep"
     c["pairs"] = "SELECT s1_id, cand_id, a, b FROM cand JOIN forms a ON a.entity_id = s1_id JOIN forms b ON b.entity_id = cand_id"

@@ -25,10 +25,13 @@ def test_null_and_empty_names_are_empty(spark):
 
 
 def test_letters_are_folded_and_other_scripts_stay(spark):
-    assert values(spark, ["Émile & Søn — Straße", "東京 ＡＢＣ", "Œuvre x_y"], N.basic_clean) == ["emile søn strasse", "東京 abc", "oeuvre x_y"]
+    assert values(spark, ["Émile & Søn — Straße", "東京 ＡＢＣ", "Œuvre x_y"], N.basic_clean) == ["emile son strasse", "東京 abc", "oeuvre x_y"]
+    assert values(spark, ["Cafe\u0301", "Łódź Đặng İş ıþ", "ﬁn ㎏ Ⅷ ½"], N.basic_clean) == ["cafe", "lodz dang is ith", "fin kg viii 1 2"]
 
 
 def test_domains_are_cut_and_slash_names_keep_their_behaviour(spark):
+    upper = ["HTTPS://WWW.ACME.COM/x", "WWW.Acme.com", "Www2.Acme.Co.Uk:80", "www.", "http://", "a.b c", "x.gouv.fr", "acme.com:80:90", "http:80/x", ".com"]
+    assert values(spark, upper, N.clean_domain_name) == ["acme", "acme", "acme", "www", "http", "a b c", "x", "acme com 80 90", "http", ""]
     got = values(spark, ["https://www.acme-widgets.co.uk/about", "acme.com:8080", "M/S Foo Traders", "13/85 Ameren Inc", "St. Lutheran Church LLC"], N.clean_domain_name)
     assert got == ["acme widgets", "acme", "m", "13", "st lutheran church llc"]
 
@@ -40,6 +43,7 @@ def test_countries(spark):
 def test_tokens(spark):
     assert values(spark, ["12-A, 45 560001 A12"], T.numeric_tokens) == [["12", "45", "560001"]]
     assert values(spark, ["75008 Paris CEDEX 08, BP 12", None], T.postal_tokens) == [["75008", "cedex 08", "bp 12"], []]
+    assert values(spark, ["cedex 08a bp", "12345-6789 1234567 é12 x_12345"], T.postal_tokens) == [["cedex", "bp"], ["12345"]]
     assert values(spark, ["+1-800-555-1234", "12"], T.phone_tokens) == [["8005551234"], []]
     assert values(spark, ["blue red x", "one", ""], T.name_bigrams) == [["blue red"], [], []]
     assert values(spark, ["ab cd", "a", ""], lambda x: T.char_ngrams(x, 3)) == [["abc", "bcd"], ["a"], []]
