@@ -100,7 +100,7 @@ class Codec:
     bytes, two or four for each.
     """
 
-    def __init__(self, path: str, mean: int = 2048, words: int = 300_000, chunks: int = 20_000):
+    def __init__(self, path: str, mean: int = 2048, words: int = 100_000, chunks: int = 10_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -111,7 +111,7 @@ class Codec:
         self.tokens = [self.library.id_to_token(i) or "" for i in range(size)]
         self.decimals = [str(i) for i in range(size)]
         self.kind = np.dtype("<u2" if size <= 1 << 16 else "<u4")
-        self.mean, self.words, self.chunks, self.joins = mean, Generations(words), Generations(chunks, 32 << 20), Generations(chunks)
+        self.mean, self.words, self.chunks, self.joins = mean, Generations(words), Generations(chunks, 16 << 20), Generations(chunks)
         self.asked = self.reused = 0  # bytes of chunks, for figures
         self.merges = None
         self.check()
