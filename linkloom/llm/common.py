@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
@@ -58,16 +59,27 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def give_back() -> None:
+    """Returns the memory that ended batches left in the allocators: a worker lives on for other stages' tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+    if trim:
+        trim(0)
+
+
 def arrow_map(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[dict]], schema: str | T.StructType) -> DataFrame:
     """mapInArrow whose function yields dicts of columns (lists or arrays) in the order of schema."""
     kind = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
     arrow = to_arrow_schema(kind)
 
     def run(batches):
-        for columns in function(batches):
-            yield pa.RecordBatch.from_arrays(
-                [c.cast(f.type) if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip((columns[f.name] for f in arrow), arrow, strict=True)],
-                schema=arrow,
-            )
+        try:
+            for columns in function(batches):
+                yield pa.RecordBatch.from_arrays(
+                    [c.cast(f.type) if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip((columns[f.name] for f in arrow), arrow, strict=True)],
+                    schema=arrow,
+                )
+        finally:
+            give_back()
 
     return df.mapInArrow(run, kind)
