@@ -111,7 +111,7 @@ class Codec:
         self.tokens = [self.library.id_to_token(i) or "" for i in range(size)]
         self.decimals = [str(i) for i in range(size)]
         self.kind = np.dtype("<u2" if size <= 1 << 16 else "<u4")
-        self.mean, self.words, self.chunks, self.joins = mean, Generations(words), Generations(chunks, 16 << 20), Generations(chunks)
+        self.mean, self.words, self.chunks, self.joins = mean, Generations(words), Generations(chunks, 8 << 20), Generations(chunks)
         self.asked = self.reused = 0  # bytes of chunks, for figures
         self.merges = None
         self.check()
@@ -216,8 +216,8 @@ class Codec:
                 return False
             wide *= 2
 
-    def ids_all(self, texts: list[str], chunked: bool = True, at_once: int = 4 << 20) -> list[np.ndarray]:
-        """The ids of all texts, some megabytes of them together; without chunks word by word."""
+    def ids_all(self, texts: list[str], chunked: bool = True, at_once: int = 1 << 20) -> list[np.ndarray]:
+        """The ids of all texts, about a megabyte of them together; without chunks word by word."""
         out, part, size = [], [], 0
         for k, raw in enumerate(t.encode() for t in texts):
             part.append(raw)
@@ -309,7 +309,7 @@ def codec(path: str) -> Codec:
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, rows=500, size=2 << 20)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
 
