@@ -9,9 +9,10 @@ fingerprint probes the keys within its thresholds, and candidates are verified:
 leave doubt, by the exact similarity of the shingle sets.
 
 A bucket gives back a spanning forest of its pairs, those of fewest differing bits first, never all pairs; large
-buckets are cut into chunks, and every pair of chunks is a group. A link that a forest leaves out lies between
-texts that links of no more differing bits connect; if one of those fails the exact check, the pair may be parted
-although it is similar itself. Tests measure recall against brute force.
+buckets are cut into chunks, and every pair of chunks is a group with a forest of its own. A link that a forest leaves
+out lies between texts that links of no more differing bits connect; if one of those fails the exact check, the pair may
+be parted although it is similar itself. Tests measure recall against brute force. Chunks and ties follow the codes, not
+their numbers, places or batches: which links a forest keeps is the same on every run.
 
 Texts that differ only in the case of A-Z or in white space are one class. Texts without words are one class too,
 and links with none other. Texts of fewer words than a shingle are one shingle. Null texts count as empty. Null ids come
@@ -141,13 +142,22 @@ def probes(codes: DataFrame, groups: list[tuple[int, list[int]]], thresholds: li
     return arrow_map(codes.select("cid", "code"), run, "part int, key long, cid long, code binary, probe int")
 
 
-def spanning(a: np.ndarray, b: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """Places of the edges of a least spanning forest, ties by place: each round takes the least edge out of every component."""
+def marks(code: np.ndarray) -> np.ndarray:
+    """A 64-bit mix of each code (rows of words), that orders codes alike on every run."""
+    out = np.zeros(len(code), _U)
+    with np.errstate(over="ignore"):
+        for word in code.T:
+            out = (out ^ word.astype(_U)) * _U(0xBF58476D1CE4E5B9)
+            out ^= out >> _U(29)
+    return out
+
+
+def spanning(a: np.ndarray, b: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Places of the edges of a least spanning forest, edges being compared as `order` lists them: each round takes the least edge out of every component."""
     if not len(a):
         return np.zeros(0, int)
     nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
     x, y = at[: len(a)], at[len(a) :]
-    order = np.argsort(w, kind="stable")
     label, taken = np.arange(len(nodes)), []
     x, y = x[order], y[order]
     live = np.arange(len(order))
@@ -174,7 +184,7 @@ def candidates(rows: DataFrame, radius: int, chunk: int = 1000, few: int = 100_0
     heavy = rows.groupBy(*BUCKET).count().filter(F.col("count") > chunk).select(*BUCKET, F.ceil(F.col("count") / chunk).cast("int").alias("n"))
     heavy = written(heavy, "heavy-buckets")
     cut = rows.join(F.broadcast(heavy) if heavy.count() <= few else heavy, list(BUCKET), "left").withColumn("n", F.coalesce("n", F.lit(1)))
-    cut = cut.withColumn("c", F.pmod(F.xxhash64("cid"), F.col("n")).cast("int"))
+    cut = cut.withColumn("c", F.pmod(F.xxhash64("code"), F.col("n")).cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda o: F.struct(F.least(F.col("c"), o).alias("c1"), F.greatest(F.col("c"), o).alias("c2")))
     group = [*BUCKET, "c1", "c2"]
     dealt = cut.select(*BUCKET, "cid", "code", "probe", F.explode(pairs).alias("p")).select(*BUCKET, "p.c1", "p.c2", "cid", "code", "probe")
@@ -201,6 +211,7 @@ def candidates(rows: DataFrame, radius: int, chunk: int = 1000, few: int = 100_0
         end = np.repeat(stops, stops - starts)
         at, step, held = np.flatnonzero(probe[: len(end)] == 0), 0, []
         none = np.zeros(0, np.int64)
+        mark = marks(code[: len(end)])
         while True:
             step += 1
             at = at[at + step < end[at]]
@@ -215,15 +226,17 @@ def candidates(rows: DataFrame, radius: int, chunk: int = 1000, few: int = 100_0
                 ok = bits <= radius
                 x, bits = x[ok], bits[ok]
                 if len(x):
-                    held.append((cid[x], cid[x + step], bits))
+                    held.append((x, x + step, bits))
             if sum(len(h[0]) for h in held) > 1_000_000:
-                held = [forest(held)]
-        a, b, bits = forest(held) if held else (none, none, none)
+                held = [forest(held, mark)]
+        a, b, bits = forest(held, mark) if held else (none, none, none)
+        a, b = cid[a], cid[b]
         return {"a": np.minimum(a, b), "b": np.maximum(a, b), "bits": bits}
 
-    def forest(held):
+    def forest(held, mark):
+        # Rows are the nodes, so groups are forests of their own; a row is one code, once in its group.
         a, b, bits = (np.concatenate(x) for x in zip(*held, strict=True))
-        at = spanning(a, b, bits)
+        at = spanning(a, b, np.lexsort((np.maximum(mark[a], mark[b]), np.minimum(mark[a], mark[b]), bits)))
         return a[at], b[at], bits[at]
 
     return arrow_map(dealt, run, "a long, b long, bits long").filter("a != b").groupBy("a", "b").agg(F.min("bits").alias("bits"))

@@ -196,10 +196,31 @@ def test_one_of_each_against_brute_force(spark, docs, texts, nothing):
     assert wide_simhash.one_of_each(nothing).count() == 0
 
 
+def test_near_links_are_the_same_on_every_run(spark):
+    """Links that the forests keep follow the codes: rows in other orders and partitions give the same pairs of texts."""
+    rng = random.Random(9)
+    rows = []
+    for i in range(30):
+        ws = [rng.choice("abcdefghijklmnop") + str(rng.randint(0, 400)) for _ in range(120)]
+        rows += [(100 * i + k, " ".join("new" if rng.random() < 0.02 else w for w in ws)) for k in range(12)]
+    runs = []
+    for parts, seed in ((1, 0), (5, 1), (3, 2)):
+        random.Random(seed).shuffle(rows)
+        codes = wide_simhash.fingerprints(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts), 5, 8, "doc_id", "text")
+        # another number for each code in each run
+        one = codes.groupBy("code").agg(F.min("doc_id").alias("doc_id")).withColumn("cid", F.xxhash64(F.lit(seed), "code")).cache()
+        n, together = wide_simhash.bit_statistics(one, 8)
+        found = wide_simhash.candidates(wide_simhash.probes(one, *wide_simhash.allocate(n, together, 0.8, 0.95)), 90, chunk=5)
+        names = {r["cid"]: r["doc_id"] for r in one.select("cid", "doc_id").collect()}
+        runs.append({(*sorted((names[r["a"]], names[r["b"]])), r["bits"]) for r in found.collect()})
+        one.unpersist()
+    assert len(runs[0]) > 200 and runs[0] == runs[1] == runs[2]
+
+
 def test_spanning_forest_takes_the_least_edges():
     rng = np.random.default_rng(8)
     a, b, w = rng.integers(0, 40, 300), rng.integers(0, 40, 300), rng.integers(0, 9, 300)
-    at = wide_simhash.spanning(a, b, w)
+    at = wide_simhash.spanning(a, b, np.argsort(w, kind="stable"))
     label, want = {i: i for i in range(40)}, 0
     for k in np.argsort(w, kind="stable"):
         x, y = label[a[k]], label[b[k]]
