@@ -11,23 +11,25 @@ from ..sources.tsv import CANDIDATES, MATCHES
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """line (from 1) and value of a text file. A result file's line number is global, so its lines are numbered in one order."""
-    # Line numbers need one order over the file: rank within partitions, offsets by partition.
-    lines = spark.read.text(path).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id())
-    sizes = lines.groupBy("_p").agg(F.count("*").alias("n"))
-    offsets = sizes.select("_p", (F.sum("n").over(Window.orderBy("_p")) - F.col("n")).alias("before"))
-    return lines.join(F.broadcast(offsets), "_p").select((F.row_number().over(Window.partitionBy("_p").orderBy("_i")) + F.col("before")).alias("line"), "value")
+    """line (from 1, over all files by name), head (whether it is its file's first) and value of the text files at path."""
+    # A file is read in blocks: lines are ranked within a block, and offsets come from the blocks' sizes.
+    block = ["file", "start"]
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("i"))
+    sizes = lines.groupBy(*block).agg(F.count("*").alias("n"))
+    offsets = sizes.select(*block, (F.sum("n").over(Window.orderBy(*block)) - F.col("n")).alias("before"), (F.sum("n").over(Window.partitionBy("file").orderBy("start")) - F.col("n")).alias("above"))
+    ranked = lines.withColumn("k", F.row_number().over(Window.partitionBy(*block).orderBy("i"))).join(offsets, block)
+    return ranked.select((F.col("k") + F.col("before")).alias("line"), (F.col("k") + F.col("above") == 1).alias("head"), "value")
 
 
 def fields(lines: DataFrame) -> DataFrame:
-    """line, n_fields, s1_id, ids of every line behind the header."""
+    """line, n_fields, s1_id, ids of every line but the headers."""
     parts = F.split("value", "\t")
-    return lines.filter("line > 1").select("line", F.size(parts).alias("n_fields"), F.trim(parts[0]).alias("s1_id"), F.trim(F.coalesce(F.try_element_at(parts, F.lit(2)), F.lit(""))).alias("ids"))
+    return lines.filter("NOT head").select("line", F.size(parts).alias("n_fields"), F.trim(parts[0]).alias("s1_id"), F.trim(F.coalesce(F.try_element_at(parts, F.lit(2)), F.lit(""))).alias("ids"))
 
 
 def header_violations(lines: DataFrame, expected: tuple[str, ...]) -> DataFrame:
-    found = lines.filter((F.col("line") == 1) & (F.col("value") != "\t".join(expected)))
-    return found.select(F.lit("header").alias("rule"), F.lit("1").alias("at"), F.col("value").alias("detail"))
+    found = lines.filter(F.col("head") & (F.col("value") != "\t".join(expected)))
+    return found.select(F.lit("header").alias("rule"), F.col("line").cast("string").alias("at"), F.col("value").alias("detail"))
 
 
 def row_violations(rows: DataFrame, s1_ids: DataFrame, other_ids: DataFrame) -> DataFrame:
@@ -68,7 +70,7 @@ def pairs_of(rows: DataFrame) -> DataFrame:
 
 
 def validate_files(spark: SparkSession, matching: str, candidate: str, s1_ids: DataFrame, other_ids: DataFrame) -> DataFrame:
-    """All violations of both files and of matches being candidates; no row means the files pass."""
+    """All violations of both results (files, or folders of files with a header each) and of matches being candidates; no row means they pass."""
     out = []
     rows = {}
     for name, path, header in (("matching", matching, MATCHES), ("candidate", candidate, CANDIDATES)):

@@ -9,7 +9,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import blocking as B
@@ -21,6 +21,7 @@ from ..operators import tfidf as V
 from ..operators.features import accuracy_features, base_features, with_ratios
 from ..operators.prepare import with_forms
 from ..operators.store import spread, stored
+from ..sources import tsv
 
 FOLDS = 5
 
@@ -33,9 +34,9 @@ def pair_table(references: DataFrame, others: DataFrame, top_k: int = B.TOP_K) -
 
 @dataclass
 class Baseline:
-    pairs: DataFrame  # with records and ratios
+    pairs: DataFrame | None  # with records and ratios; none in a stored run
     model: PipelineModel
-    scored: DataFrame  # s1_id, cand_id, score, fold
+    scored: DataFrame | None  # s1_id, cand_id, score, fold
     threshold: float
     margin: float
 
@@ -43,8 +44,8 @@ class Baseline:
 @dataclass
 class Reranked:
     model: PipelineModel
-    features: DataFrame
-    scored: DataFrame  # s1_id, cand_id, score, fold
+    features: DataFrame | None
+    scored: DataFrame | None  # s1_id, cand_id, score, fold
     threshold: float
     hurdle: float
     margin: float
@@ -101,6 +102,25 @@ def predict_matches(base: Baseline, references: DataFrame, others: DataFrame, re
     return pairs.select("s1_id", "cand_id"), D.decide_reranked(final, reranker.threshold, reranker.margin, reranker.hurdle)
 
 
+def save(spark: SparkSession, folder: str, base: Baseline, reranker: Reranked | None = None) -> None:
+    """Models and thresholds: what predicting needs."""
+    L.save(base.model, f"{folder}/baseline/model")
+    tsv.write_thresholds(spark, f"{folder}/baseline/thresholds", base.threshold, base.margin)
+    if reranker:
+        L.save(reranker.model, f"{folder}/reranker/model")
+        tsv.write_thresholds(spark, f"{folder}/reranker/thresholds", reranker.threshold, reranker.margin, reranker.hurdle)
+
+
+def load_baseline(spark: SparkSession, folder: str) -> Baseline:
+    t = tsv.read_thresholds(spark, f"{folder}/baseline/thresholds")
+    return Baseline(None, L.load(f"{folder}/baseline/model"), None, t["threshold"], t["margin"])
+
+
+def load_reranker(spark: SparkSession, folder: str) -> Reranked:
+    t = tsv.read_thresholds(spark, f"{folder}/reranker/thresholds")
+    return Reranked(L.load(f"{folder}/reranker/model"), None, None, t["threshold"], t["hurdle"], t["margin"])
+
+
 def report(base: Baseline, reranker: Reranked, truth: DataFrame) -> DataFrame:
     """Metric rows of fold 0 before and after reranking, in modes ml and ensemble, with the gain over the baseline."""
     mine = truth.filter(_fold() == 0)

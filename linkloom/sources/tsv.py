@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,9 +14,20 @@ MATCHES = ("source1_entity_id", "matched_entity_ids")
 CANDIDATES = ("source1_entity_id", "candidate_entity_ids")
 
 
+#: A field within one line: quoted and closed, or without a quote at its start.
+FIELD = r'(?:"(?:[^"\r]++|"")*+"|[^"\t\r][^\t\r]*+)?+'
+
+
+def breaks_lines(spark: SparkSession, path: str) -> bool:
+    """Whether some field isn't closed within its line, so that lines can't be read one by one."""
+    whole = rf"\A{FIELD}(?:\t{FIELD})*+\r?\z"
+    return not spark.read.text(path, lineSep="\n").filter(~F.col("value").rlike(whole)).isEmpty()
+
+
 def _read(spark: SparkSession, path: str, required: tuple[str, ...]) -> DataFrame:
+    """Files are split among tasks, unless a quoted field holds a line break: then each file is one task. A scan of the text tells."""
     # Types are never inferred; a header is a line of text, so reading it scans nothing else.
-    df = spark.read.csv(path, sep="\t", header=True, inferSchema=False, quote='"', escape='"', multiLine=True)
+    df = spark.read.csv(path, sep="\t", header=True, inferSchema=False, quote='"', escape='"', multiLine=breaks_lines(spark, path))
     if missing := [c for c in required if c not in df.columns]:
         raise ValueError(f"{path} lacks the columns {', '.join(missing)}")
     return df.select(*[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(c) for c in df.columns])
@@ -59,18 +71,33 @@ def candidate_pairs(entities: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def write_id_lists(lists: DataFrame, path: str) -> None:
-    """A header and unquoted rows; as many part files as partitions."""
+    """A folder of part files, each a header and unquoted rows; as many as partitions."""
     lists.write.mode("overwrite").option("emptyValue", "").csv(path, sep="\t", header=True, quote="", lineSep="\n")
 
 
-def write_thresholds(spark: SparkSession, path: str, threshold: float, margin: float) -> None:
-    spark.createDataFrame([(json.dumps({"threshold": threshold, "margin": margin}),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+def write_id_file(lists: DataFrame, path: str) -> None:
+    """One file with one header, for users that take no folder. Only the writing, which streams, is one task."""
+    jvm = lists.sparkSession.sparkContext._jvm
+    folder = f"{path}.parts-{uuid.uuid4().hex}"
+    write_id_lists(lists.repartition(1), folder)
+    Path = jvm.org.apache.hadoop.fs.Path
+    fs = Path(path).getFileSystem(lists.sparkSession.sparkContext._jsc.hadoopConfiguration())
+    (part,) = (s.getPath() for s in fs.globStatus(Path(f"{folder}/part-*")))
+    fs.delete(Path(path), True)
+    if not fs.rename(part, Path(path)):
+        raise OSError(f"{path} can't be written")
+    fs.delete(Path(folder), True)
+
+
+def write_thresholds(spark: SparkSession, path: str, threshold: float, margin: float, hurdle: float | None = None) -> None:
+    values = {"threshold": threshold, "margin": margin} | ({} if hurdle is None else {"hurdle": hurdle})
+    spark.createDataFrame([(json.dumps(values),)], "value string").coalesce(1).write.mode("overwrite").text(path)
 
 
 def read_thresholds(spark: SparkSession, path: str) -> dict[str, float]:
-    """threshold, margin, and the hurdle, which is the threshold."""
+    """threshold, margin, and the hurdle, which is the threshold where none was written."""
     found = json.loads(spark.read.text(path).first()[0])
-    return found | {"hurdle": found["threshold"]}
+    return {"hurdle": found["threshold"]} | found
 
 
 def raw_ids(source: DataFrame) -> DataFrame:

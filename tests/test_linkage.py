@@ -173,11 +173,32 @@ def test_files_round_trip(spark, tmp_path):
     lists = tsv.matching_results(entities, pairs(spark, [("S1-1", "S2-2"), ("S1-1", "S2-1"), ("S1-1", "S2-2")]))
     assert {tuple(r) for r in lists.collect()} == {("S1-1", "S2-1,S2-2"), ("S1-2", "")}
     out = str(tmp_path / "out")
-    tsv.write_id_lists(lists.coalesce(1), out)
+    tsv.write_id_lists(lists.repartition(2), out)
     again = tsv.truth_lists(tsv.read_ground_truth(spark, out))
     assert {r[0]: r[1] for r in again.collect()} == {"S1-1": ["S2-1", "S2-2"], "S1-2": []}
+    tsv.write_id_file(lists.repartition(2), str(tmp_path / "one.tsv"))
+    lines = (tmp_path / "one.tsv").read_text(encoding="utf-8").splitlines()
+    assert lines[0] == "source1_entity_id\tmatched_entity_ids" and sorted(lines[1:]) == ["S1-1\tS2-1,S2-2", "S1-2\t"]
+    tsv.write_id_file(lists, str(tmp_path / "one.tsv"))
+    assert [p.name for p in tmp_path.iterdir() if "one.tsv" in p.name and not p.name.endswith(".crc")] == ["one.tsv"]
     tsv.write_thresholds(spark, str(tmp_path / "t"), 0.6, 0.1)
     assert tsv.read_thresholds(spark, str(tmp_path / "t")) == {"threshold": 0.6, "margin": 0.1, "hurdle": 0.6}
+    tsv.write_thresholds(spark, str(tmp_path / "t"), 0.6, 0.1, 0.7)
+    assert tsv.read_thresholds(spark, str(tmp_path / "t"))["hurdle"] == 0.7
+
+
+@pytest.mark.parametrize(
+    ("row", "broken", "name"),
+    [
+        ('S1-1\t"A ""b"" c"\t\tUS', False, 'A "b" c'), ("S1-1\tA 5\" c\t\tUS", False, 'A 5" c'), ("S1-1\t\t\t", False, ""), ('S1-1\t"A\nb"\tx\tUS', True, "A\nb"),
+        ('S1-1\t"A\tb"\tx\tUS\r', False, "A\tb"), ('S1-1\tA 5" c\t"x\ny"\tUS', True, 'A 5" c'), ("S1-1\t" + "a" * 200_000 + "\t\tUS", False, "a" * 200_000),
+    ],
+)
+def test_lines_are_read_one_by_one_unless_a_field_breaks(spark, tmp_path, row, broken, name):
+    path = tmp_path / "s.tsv"
+    path.write_bytes(f"entity_id\tbusiness_name\tbusiness_address\tcountry\n{row}\n".encode())
+    assert tsv.breaks_lines(spark, str(path)) is broken
+    assert [r["business_name"] for r in tsv.read_source(spark, str(path)).collect()] == [name]
 
 
 def test_validator(spark, tmp_path):
@@ -193,6 +214,27 @@ def test_validator(spark, tmp_path):
     assert Q.passes(Q.validate_files(spark, str(m), str(c), ids, others))
 
 
+def test_validator_takes_folders_of_files(spark, tmp_path):
+    """Each part has a header; small blocks cut files, and lines keep their numbers."""
+    n = 300
+    entities = pairs(spark, [(f"S1-{i}", "") for i in range(n)])
+    found = pairs(spark, [(f"S1-{i}", f"S2-{i}") for i in range(n)])
+    m, c = str(tmp_path / "m"), str(tmp_path / "c")
+    tsv.write_id_lists(tsv.matching_results(entities, found).repartition(3), m)
+    tsv.write_id_lists(tsv.candidate_pairs(entities, found).repartition(2), c)
+    ids, others = entities.select(F.col("s1_id").alias("entity_id")), found.select(F.col("cand_id").alias("entity_id"))
+    assert Q.passes(Q.validate_files(spark, m, c, ids, others))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        assert Q.passes(Q.validate_files(spark, m, c, ids, others))
+        lines = Q.numbered_lines(spark, m).orderBy("line").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    want = [v for p in sorted((tmp_path / "m").glob("part-*")) for v in p.read_text(encoding="utf-8").splitlines()]
+    assert [r["line"] for r in lines] == list(range(1, n + 4)) and [r["value"] for r in lines] == want
+    assert [r["value"] for r in lines if r["head"]] == ["source1_entity_id\tmatched_entity_ids"] * 3
+
+
 def test_stream_gives_what_a_batch_gives(spark, sides, tmp_path):
     from linkloom.streaming.blocking import candidates_of_stream
 
