@@ -1,6 +1,6 @@
 """Training, evaluation and prediction from records to result lists.
 
-A run keeps its plan lazy up to the pair features, which are stored once (a checkpoint in
+A run stores candidate pairs with their records and edit ratios, and the pair features, once each (a checkpoint in
 the shared folder where there is one), since the model fit, its tuning and the scores read them again.
 """
 
@@ -27,9 +27,9 @@ FOLDS = 5
 
 
 def pair_table(references: DataFrame, others: DataFrame, top_k: int = B.TOP_K) -> DataFrame:
-    """Candidate pairs with both records' forms and the edit ratios."""
-    found = B.candidates(references, others, top_k=top_k)
-    return with_ratios(C.join_records(stored(spread(found.select("s1_id", "cand_id"))), with_forms(references), with_forms(others)))
+    """Candidate pairs with both records' forms and the edit ratios; records and ratios are stored, forms are made when they are read."""
+    found = stored(spread(B.candidates(references, others, top_k=top_k).select("s1_id", "cand_id")))
+    return C.each_side(stored(with_ratios(C.join_records(found, references.drop("tokens"), others.drop("tokens")))), with_forms)
 
 
 @dataclass
@@ -57,7 +57,7 @@ def _fold():
 
 def train_baseline(references: DataFrame, others: DataFrame, truth: DataFrame, ratio: float = 6.0) -> Baseline:
     """Fits on folds 2 and above, stops early on fold 1, tunes on fold 0."""
-    pairs = stored(pair_table(references, others))
+    pairs = pair_table(references, others)
     features = stored(C.label(base_features(pairs), truth).withColumn("fold", _fold()))
     fitting = C.cap_negatives(features.filter("fold > 1"), ratio).withColumn("stop", F.lit(False)).unionByName(features.filter("fold = 1").withColumn("stop", F.lit(True)))
     model = L.fit_base(fitting, "stop" if features.filter("fold = 1").groupBy("label").count().count() == 2 else None)
@@ -93,7 +93,7 @@ def train_reranker(base: Baseline, references: DataFrame, others: DataFrame, tru
 
 def predict_matches(base: Baseline, references: DataFrame, others: DataFrame, reranker: Reranked | None = None) -> tuple[DataFrame, DataFrame]:
     """Candidates and matches of new records; matches are a subset of candidates."""
-    pairs = stored(pair_table(references, others))
+    pairs = pair_table(references, others)
     scored = L.predict(base.model, base_features(pairs)).select("s1_id", "cand_id", "score")
     if reranker is None:
         return pairs.select("s1_id", "cand_id"), D.decide(scored, base.threshold, base.margin)
