@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import SPACES, arrow_map, small_batches
 from .merges import Merges
+from .words import Words
 
 _SPACES = SPACES.encode()
 WINDOW = 16
@@ -116,6 +117,7 @@ class Codec:
         self.merges = None
         self.check()
         self.merges = merges_of(path, self.library)
+        self.plain = Words(self, _SPACES, TAIL)
 
     def check(self) -> None:
         probe = "ab cd\n\tE'll 12é <|endoftext|>x y"
@@ -224,13 +226,10 @@ class Codec:
             size += len(raw)
             if size >= at_once or k == len(texts) - 1:
                 if chunked:
-                    ids = self.encode_part(part)
+                    out += [np.frombuffer(x, self.kind) for x in self.encode_part(part)]
                 else:
                     self.words.turn()
-                    split = [raw.split() for raw in part]
-                    self.learn(chain.from_iterable(split))
-                    ids = [self.of_words(words) for words in split]
-                out += [np.frombuffer(x, self.kind) for x in ids]
+                    out += self.plain.encode(part)
                 part, size = [], 0
         return out
 

@@ -48,7 +48,7 @@ def ids_of(texts: list[str | None], vocabulary: str | None) -> list[bytes]:
     if vocabulary is None:
         each = [(t or "").encode() for t in texts]
     else:
-        each = [x.astype(kind).tobytes() for x in codec(vocabulary).ids_all([t or "" for t in texts], at_once=4 << 20)]
+        each = [x.astype(kind).tobytes() for x in codec(vocabulary).ids_all([t or "" for t in texts], chunked=False, at_once=8 << 20)]
     end = np.array([pad - 1], kind).tobytes()
     return [e + end if e else e for e in each]
 

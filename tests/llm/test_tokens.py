@@ -120,3 +120,27 @@ def test_ids_alone_equal_the_library(tokenizer_path, library):
     texts = ["", *odd_texts(200, 6), "no" + "日本" * 300 + " end", ""]
     got = Codec(tokenizer_path(WORDS)).ids_all(texts, at_once=2000, chunked=False)
     assert [x.tolist() for x in got] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_training_order_encodes_distinct_words_array_wise(tokenizer_path, library, monkeypatch):
+    """No step for each word of a text in Python: the library sees only words that aren't of Latin letters, and signs, once each."""
+    from linkloom.llm import ordering
+
+    known = Codec(tokenizer_path(WORDS))
+    asked, by_library = [], known.by_library
+    monkeypatch.setattr(known, "by_library", lambda words: asked.extend(words) or by_library(words))
+    monkeypatch.setattr(known, "learn", lambda words: pytest.fail("words one by one"))
+    monkeypatch.setattr(ordering, "codec", lambda path: known)
+    texts = ["one Word, WORD; a word.", None, " \t", "Éa éA, İa. ȺȾ ß x y z\x1cz,", "one " * 50 + "x" * 70 + " a1, a1;", *odd_texts(50, 8)]
+    got = ordering.ids_of(texts, WORDS)
+    want = [np.array(library.encode(t or "", add_special_tokens=False).ids, "<u2") for t in texts]
+    assert got == [w.tobytes() + b"\xfe\xff" if len(w) else b"" for w in want]
+    assert len(asked) == len(set(asked)) and {b",", b"a1,"} <= {*asked} and not {b"one", b"Word,", b"word", "éa".encode()} & {*asked}
+
+
+def test_letters_that_are_kept_are_bounded(tokenizer_path, library):
+    codec = Codec(tokenizer_path(WORDS))
+    codec.plain.most = 5
+    texts = ["alpha beta gamma", "beta delta, epsilon zeta eta theta iota", "alpha theta beta", ""] * 2
+    assert [x.tolist() for x in codec.ids_all(texts, at_once=20, chunked=False)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert 0 < len(codec.plain.known) == len(codec.plain.sizes) <= 5 and codec.plain.sizes.sum() == len(codec.plain.ids)
