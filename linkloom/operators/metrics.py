@@ -67,14 +67,14 @@ def macro_f05(truth: DataFrame, matches: DataFrame) -> DataFrame:
     return full_metrics(truth, matches).select("macro_f0_5", "n_entities", "n_singletons", "n_with_matches")
 
 
-def _grid(scored: DataFrame, truth: DataFrame, grid: DataFrame, keep: Callable[[Column], Column]) -> DataFrame:
-    """Figures of every grid row: scores cross the grid (at most some hundred rows, a fixed list), counts are summed per entity, entities without a match are added by the grid alone."""
+def _grid(scored: DataFrame, truth: DataFrame, grid: DataFrame, least: float, keep: Callable[[Column], Column]) -> DataFrame:
+    """Figures of every grid row; keep takes no score below least, the grid's least threshold, so those only count for an entity's best, and no truth is looked up for them. Scores cross the grid (at most some hundred rows, a fixed list), counts are summed per entity, entities without a match are added by the grid alone."""
     keys = grid.columns
     true = true_pairs(truth).withColumn("t", F.lit(1))
     known = true_sizes(truth)
-    rows = scored.join(known, "s1_id").join(true, ["s1_id", "cand_id"], "left").withColumn("top", F.max("score").over(Window.partitionBy("s1_id")))
-    rows = rows.groupBy("s1_id", "n_true", "top").agg(F.collect_list(F.struct("score", F.coalesce("t", F.lit(0)).alias("t"))).alias("c"))
-    rows = known.join(rows.select("s1_id", "top", "c"), "s1_id", "left").crossJoin(F.broadcast(grid))
+    rows = scored.select("s1_id", "cand_id", "score", F.max("score").over(Window.partitionBy("s1_id")).alias("top")).filter(F.col("score") >= least)
+    rows = rows.join(true, ["s1_id", "cand_id"], "left").groupBy("s1_id", "top").agg(F.collect_list(F.struct("score", F.coalesce("t", F.lit(0)).alias("t"))).alias("c"))
+    rows = known.join(rows, "s1_id", "left").crossJoin(F.broadcast(grid))
     picked = F.coalesce(F.filter("c", lambda s: keep(s["score"])), F.array().cast("array<struct<score:double,t:int>>"))
     counts = rows.withColumn("p", picked).select(*keys, "n_true", F.size("p").cast("long").alias("n_pred"), F.aggregate("p", F.lit(0).cast("long"), lambda a, s: a + s["t"]).alias("tp"))
     return counts.groupBy(*keys).agg(*_figures())
@@ -84,14 +84,14 @@ def grid_2d(scored: DataFrame, truth: DataFrame) -> DataFrame:
     """threshold, margin and figures by the baseline decision, the hurdle being the threshold."""
     grid = scored.sparkSession.createDataFrame(GRID_2D, "threshold double, margin double")
     keep = lambda s: (F.col("top") >= F.col("threshold")) & (s >= F.col("threshold")) & (F.col("top") - s <= F.col("margin"))
-    return _grid(scored, truth, grid, keep)
+    return _grid(scored, truth, grid, min(t for t, _ in GRID_2D), keep)
 
 
 def grid_3d(scored: DataFrame, truth: DataFrame, sure: float = 0.70) -> DataFrame:
     """threshold, hurdle, margin and figures by the reranked decision."""
     grid = scored.sparkSession.createDataFrame(GRID_3D, "threshold double, hurdle double, margin double")
     keep = lambda s: (F.col("top") >= F.col("hurdle")) & (s >= F.col("threshold")) & ((s >= F.col("top") - F.col("margin")) | (s >= sure))
-    return _grid(scored, truth, grid, keep)
+    return _grid(scored, truth, grid, min(t for t, _, _ in GRID_3D), keep)
 
 
 def best_2d(figures: DataFrame) -> DataFrame:

@@ -4,12 +4,15 @@ import random
 
 import pytest
 from pyspark.sql import functions as F
+from test_scale import shuffled as rows_shuffled
 from test_scale import side
 
 from linkloom.operators import cells
 from linkloom.operators import decide as D
 from linkloom.operators import metrics as M
 from linkloom.operators import pairs as C
+from linkloom.operators.features import ACCURACY, accuracy_features
+from linkloom.plans import catalogue
 from linkloom.sources import views
 
 
@@ -53,3 +56,36 @@ def test_decisions_group_pairs_where_they_lie(spark):
         assert plans == [4, 4, 4]
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def prepared_run(spark):
+    run = catalogue.Run(spark, "")
+    rows = side(spark, "S1", 12).unionByName(side(spark, "S2", 20))
+    run.__dict__.update(records=rows, found=spark.createDataFrame([(f"S1-{i}", f"S2-{i + j}", 1.0) for i in range(12) for j in range(3)], cells.SCHEMA))
+    return run
+
+
+def test_pairs_move_only_the_fields_that_features_read(spark):
+    run = prepared_run(spark)
+    of = lambda df: {x for s in ("a", "b") for x in df.select(f"{s}.*").columns}
+    assert of(run.pairs_for(["name_base_levenshtein_sim", "addr_token_jaccard"])) == {"base", "addr", "addr_words"}
+    everything = run.pairs_for(ACCURACY)
+    assert not {"name", "country", "entity_id"} & of(everything) and {"nums", "postals"} <= of(everything)
+
+
+def test_each_feature_is_the_same_with_its_fields_alone(spark):
+    run = prepared_run(spark)
+    whole = {tuple(r[:2]): r for r in accuracy_features(catalogue.without_ratios(run.pairs)).collect()}
+    for name in ("addr_postal_jaccard", "name_addr_min_sim", "addr_street_num_match"):
+        accuracy_features(catalogue.without_ratios(run.pairs_for([name])), [name]).schema  # noqa: B018 - it resolves
+    got = accuracy_features(catalogue.without_ratios(run.pairs_for(ACCURACY))).collect()
+    assert len(got) == len(whole) == 36 and all(whole[tuple(r[:2])] == r for r in got)
+
+
+@pytest.mark.parametrize("made", [M.grid_2d, M.grid_3d])
+def test_grids_look_up_truth_only_for_scores_that_a_threshold_takes(spark, made):
+    scored = spark.createDataFrame([(f"S1-{i}", f"S2-{i}-{j}", 0.01) for i in range(400) for j in range(10)] + [("S1-0", "S2-x", 0.9), ("S1-1", "S2-y", 0.3), ("S1-z", "S2-x", 0.9)], cells.SCHEMA).repartition(2, "s1_id")
+    truth = spark.createDataFrame([("S1-0", "S2-x"), ("S1-1", None), ("S1-2", "S2-2-0")], "s1_id string, cand_id string")
+    first = made(scored, truth).orderBy("threshold", "margin").first()
+    assert (first["n_entities"], first["n_tp"], first["n_fn"], first["n_predicted_matches"]) == (3, 1, 1, 2 if made is M.grid_2d else 1)
+    assert rows_shuffled(spark, made(scored, truth)) < 3000
