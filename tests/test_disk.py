@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_scale import side
 
+from linkloom.operators import blocking as B
 from linkloom.operators import cells
 from linkloom.operators import decide as D
 from linkloom.operators import metrics as M
@@ -87,3 +88,31 @@ def test_grids_count_scores_at_and_above_the_least_threshold(spark, made):
     truth = spark.createDataFrame([("S1-0", "S2-x"), ("S1-1", None), ("S1-2", "S2-2-0")], "s1_id string, cand_id string")
     first = made(scored, truth).orderBy("threshold", "margin").first()
     assert (first["n_entities"], first["n_tp"], first["n_fn"], first["n_predicted_matches"]) == (3, 1, 1, 2 if made is M.grid_2d else 1)
+
+
+def test_equal_scores_of_a_reference_are_one_run(spark, monkeypatch):
+    monkeypatch.setattr(cells, "BATCH", 7)
+    a, b = side(spark, "S1", 30, ("US",)), side(spark, "S2", 200, ("US",))
+    of = {}
+    for r in B.name_scores(a, b, 1.0).collect():
+        of.setdefault(r["s1_id"], []).append((r["score"], r["cand_id"]))
+    assert sum(map(len, of.values())) == B.name_hits(a, b, 1.0).select("s1_id", "cand_id").distinct().count() > 1_000
+    assert all([s for s, _ in rows] == sorted((s for s, _ in rows), reverse=True) for rows in of.values())
+
+
+def test_all_pairs_of_a_part_have_ids_for_one_dictionary(spark, monkeypatch):
+    monkeypatch.setattr(cells, "LISTED", 1_000, raising=False)
+    a, b = side(spark, "S1", 3, ("US",)), side(spark, "S2", 3_000, ("US",))
+    parts = [{r["cand_id"] for r in part} for part in B.name_scores(a, b, 1.0).rdd.glom().collect()]
+    everyone = set().union(*parts)
+    assert len(everyone) == B.name_hits(a, b, 1.0).select("cand_id").distinct().count() > 2_000
+    assert sum(map(len, parts)) == len(everyone) and max(map(len, parts)) < 1_200
+
+
+def test_name_scores_store_only_what_blocking_reads(spark, monkeypatch):
+    raw = spark.createDataFrame([(f"S{s}-{i}", f"harbour {i % 3} north", f"{i} Main Street", "US") for s in (1, 2, 3) for i in range(12)], "entity_id string, business_name string, business_address string, country string")
+    held, keep = [], catalogue.stored
+    monkeypatch.setattr(catalogue, "stored", lambda df: held.append(df.columns) or keep(df))
+    monkeypatch.setattr(catalogue.R, "records", lambda *_: raw)
+    assert catalogue.QUERIES["block_name_scores"](spark, "").count()
+    assert held == [["entity_id", "country", "tokens"]]
